@@ -5,7 +5,11 @@ holding a whole group."""
 from __future__ import annotations
 
 import atexit
+import importlib.util
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +23,30 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the folder that driver and executors share."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
     path = f"{base.rstrip('/')}/rerunlab-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_rerunlab_sent", False):
+        return
+    top = os.path.dirname(importlib.util.find_spec(__package__.partition(".")[0]).origin)
+    path = os.path.join(tempfile.mkdtemp(), "rerunlab.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._rerunlab_sent = True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
