@@ -101,13 +101,21 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int
     return a.unionByName(b)
 
 
-def gapless(df: DataFrame, group: list[str], spread: list[str], out: str, rows: int, per_task: int = 50_000) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], spread: list[str], out: str, rows: int, per_task: int = 50_000, sizes: dict[int, int] | None = None) -> DataFrame:
     """Number the rows of each group 0, 1, 2 … without holding a group in one task:
     rows are dealt into cells by a hash of ``spread``, each cell is numbered by
     itself and starts where the cells before it end. Only the cells' counts, about
-    ``rows / per_task`` for each group, are put in order together."""
-    cells = max(1, -(-rows // per_task))
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*spread), F.lit(cells)).cast("int"))
+    one for ``per_task`` rows, are put in order together. ``rows`` is the size of a
+    group; ``sizes`` has it by the value of a single integer group column whose values are few."""
+    if sizes:
+        large = {k: -(-n // per_task) for k, n in sizes.items() if n > per_task}
+        cells = F.lit(1)
+        if large:
+            lookup = F.create_map(*(F.lit(x) for pair in large.items() for x in pair))
+            cells = F.coalesce(F.element_at(lookup, F.col(group[0]).cast("int")), F.lit(1))
+    else:
+        cells = F.lit(max(1, -(-rows // per_task)))
+    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*spread), cells).cast("int"))
     keys = [*group, "_cell"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     over = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_cell")
