@@ -1,12 +1,13 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Vectors are dealt into blocks. In a block every dimension has one sorted list. For a
-query the lists are read from the end where their contributions are largest, a
-stretch of all lists at a time; each vector then has a lower bound (what was read,
-plus the least its unread lists can add) and an upper one (plus the contribution the
-list has come down to). Reading stops when few vectors have an upper bound that
-reaches the k-th lower bound: outsiders cannot qualify any more. The final scores of
-those left are then resolved and their best k go on to the merge over blocks.
+query the lists are read in order from the end where their contributions are largest,
+a stretch at a time, those first that may still add most. Each vector has a lower
+bound (what was read, plus the least its unread lists can add) and an upper one (plus
+the contributions those lists have come down to); the lengths, which come with the
+entries, bound what is unread as well. Reading stops when few vectors have an upper
+bound that reaches the k-th lower bound: outsiders cannot qualify any more. The final
+scores of those left are then resolved and their best k go on to the merge over blocks.
 
 Components are floor(scale * x) with x as double, so scores are whole numbers.
 Defined results: vectors that are null or hold null or non-finite components take no
@@ -30,39 +31,47 @@ BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 class Lists:
-    """The sorted lists of one block of vectors."""
+    """The sorted lists of one block of vectors: list d has the vectors' places and
+    values in dimension d, ascending, and every entry comes with its vector's length."""
 
     def __init__(self, values: np.ndarray, ids: np.ndarray):
         self.values, self.ids = values, ids
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int64)
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
+        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T, axis=0).T)
+        self.length = np.sqrt((values**2).sum(axis=1))
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, ties to the smaller id."""
-        n = len(self.ids)
-        allowed = self.ids != own
-        live = np.flatnonzero(allowed)
+        n, enough = len(self.ids), max(4 * k, len(self.ids) // 8)
+        live = np.flatnonzero(self.ids != own)
         dims = np.flatnonzero(q != 0)
-        up = dims[q[dims] > 0]
-        down = dims[q[dims] < 0]
-        worst = np.concatenate([self.sorted[0, up] * q[up], self.sorted[-1, down] * q[down]]) if n else np.zeros(0)
-        walk = np.concatenate([up, down])
-        width = len(walk)
-        total, unread = np.zeros(n), np.ones((n, width))
-        depth, step = 0, max(4 * k, n // 16)
-        while len(live) > max(4 * k, n // 32) and depth < n and width:
-            to = min(n, depth + step)
-            rows = np.concatenate([self.order[n - to : n - depth, up], self.order[depth:to, down]], axis=1)
-            read = np.concatenate([self.sorted[n - to : n - depth, up] * q[up], self.sorted[depth:to, down] * q[down]], axis=1)
-            total += np.bincount(rows.ravel(), read.ravel(), n)
-            unread[rows, np.arange(width)] = 0
-            front = np.concatenate([self.sorted[n - to, up] * q[up], self.sorted[to - 1, down] * q[down]])
-            part = unread[live]
-            low, high = total[live] + part @ worst, total[live] + part @ front
+        at = np.zeros(len(q), np.int64)  # entries read of each list
+        front, worst = np.zeros(len(q)), np.zeros(len(q))
+        front[dims] = np.where(q[dims] > 0, self.sorted[dims, -1], self.sorted[dims, 0]) * q[dims] if n else 0
+        worst[dims] = np.where(q[dims] > 0, self.sorted[dims, 0], self.sorted[dims, -1]) * q[dims] if n else 0
+        total, unread, stretch = np.zeros(n), np.ones((len(q), n)), n
+        lists = max(1, len(dims) // 2)
+        while len(live) > enough and (at[dims] < n).any():
+            # go on with the lists that may still add most
+            spread = np.where(at[dims] < n, np.maximum(front[dims] - worst[dims], 1e-9), 0)
+            for d in dims[np.argsort(-spread, kind="stable")[:lists]]:
+                if at[d] == n:
+                    continue
+                to = min(n, int(at[d]) + stretch)
+                part = slice(n - to, n - int(at[d])) if q[d] > 0 else slice(int(at[d]), to)
+                seen = self.order[d, part]
+                total[seen] += self.sorted[d, part] * q[d]
+                unread[d, seen] = 0
+                at[d] = to
+                front[d] = self.sorted[d, n - to if q[d] > 0 else to - 1] * q[d] if to < n else 0
+            # what unread lists add lies between their ends, and within the lengths' product
+            least, most, square = np.stack([worst, front, q * q]) @ unread
+            reach = np.sqrt(square) * self.length * (1 + 1e-9) + 1e-3
+            low = (total + np.maximum(least, -reach))[live]
+            high = (total + np.minimum(most, reach))[live]
             if len(live) > k:
-                bound = np.partition(low, len(live) - k)[len(live) - k]
-                live = live[high >= bound]
-            depth, step = to, 2 * step
+                live = live[high >= np.partition(low, len(live) - k)[len(live) - k]]
+            lists = max(1, len(dims) // 4)
         scores = self.values[live] @ q
         best = np.lexsort((self.ids[live], -scores))[:k]
         return self.ids[live][best], scores[best]
