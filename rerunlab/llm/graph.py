@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``links``: long columns a, b. Returns node, component (the least node reachable)
-    for every node that has a link to another one. No links give no rows."""
+    for every linked node but that least one. No links give no rows."""
     table = Table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = None
     while True:

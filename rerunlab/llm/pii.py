@@ -202,11 +202,11 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Dat
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets. Where spans of several
     kinds overlap the first in the text is replaced. ``n_chars``, where there is one, follows the text."""
-    found = find(docs, text, key, **how).where(F.size("found") > 0).select(F.col("rid").alias("_rid"), "found")
+    found = find(docs, text, key, **how).where(F.size("found") > 0).select(F.col("rid").alias("_rid"), F.col("found").alias("_found"))
     rows = with_row_id(docs, "_row_rid").join(found, F.col("_row_rid") == F.col("_rid"), "left")
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     body = F.col(text)
-    ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -217,7 +217,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> D
         return F.when(s["start"] >= acc["at"], new).otherwise(acc)
 
     clean = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    out = rows.withColumn(text, F.when(F.col("found").isNull(), body).otherwise(clean))
+    out = rows.withColumn(text, F.when(F.col("_found").isNull(), body).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
