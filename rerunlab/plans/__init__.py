@@ -1,3 +1,3 @@
 """The registered queries: operators bound to tables, each with SQL that states the same result independently."""
 
-from . import metrics, outcomes, relational, steps  # noqa: F401
+from . import inference, metrics, outcomes, predictors, relational, replays, scans, steps  # noqa: F401
