@@ -13,6 +13,11 @@ match extended left and right word by word. A match of ``least`` words or more i
 Extensions reach ``window`` words back and ``least`` words on, which is as far as the
 next kept suffix of the passage, so the matches of its suffixes join to the whole of it.
 
+Where a suffix's best match ahead and its best match back are with different texts, a
+third text, no neighbour in either order, might match over more words; the runs of
+``least`` words around all suffixes of that beginning are then compared as wholes, by
+128-bit hashes, so that no match is lost.
+
 Sorted rows are dealt by ranges that may split one beginning, or one whole context,
 over tasks; the rows at the edges of the ranges, a few for each task, are compared
 once more with each other. No group is gathered.
@@ -121,71 +126,90 @@ def with_context(rows: DataFrame, back: int, ahead: int) -> DataFrame:
     return rows.select("rid", "doc_id", "text", "places").mapInArrow(run, "h long, rid long, doc_id long, pos int, ahead binary, back binary")
 
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def common_words(a: bytes, b: bytes) -> int:
+    """How many words two blank-separated texts share from their start."""
+    if a == b:
+        return a.count(b" ") + 1 if a else 0
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # the shared bytes, by halving
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    whole = low and (low == len(a) or a[low] == 32) and (low == len(b) or b[low] == 32)
+    return a.count(b" ", 0, low) + bool(whole)
 
 
-FOUND = "h long, rid long, doc_id long, pos int, ahead binary, back binary, left_words int, right_words int, other_id long"
+FOUND = "h long, rid long, doc_id long, pos int, ahead binary, back binary, left_words int, right_words int, other_id long, state string"
+MATCH, OPEN, EDGE = "match", "open", "edge"
 
 
-def _neighbours(least: int, edges: bool):
-    """Compare each sorted row with the next row of another document, both ways. Keeps
-    matches; with ``edges`` also passes on, whole, the first and last rows of the range
-    up to the second document from the end."""
+def _neighbours(least: int, forwards: bool, edges: bool):
+    """Compare each sorted row with the nearest rows of another document, both ways.
+    Passes on matches; rows whose nearest one shares less than all they have (open);
+    with ``edges`` also, whole, the first and last rows of the range up to the second
+    document from its end."""
     names = [c.split()[0] for c in FOUND.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        last = before = None  # the last row and the last one of another document than it
-        held: list[tuple] = []  # rows of the last document, waiting for one of another
+        last = before = None  # the last row, and the last one of another document than it
+        held: list[list] = []  # rows of the last document, waiting for one of another
         head: list[tuple] = []
         heads_done = not edges
 
-        def match(a, b):
-            """``a`` takes what it shares with ``b``."""
-            if a[0][0] != b[0][0]:
+        def match(row, other):
+            """``row`` (its values, best match so far) takes what it shares with ``other``."""
+            a, b = row[0], other[0]
+            if a[0] != b[0]:
                 return
-            right = _common(a[1], b[1])
-            left = _common(a[2], b[2])
+            right, left = common_words(a[4], b[4]), common_words(a[5], b[5])
+            row[1] = max(row[1], (right, left) if forwards else (left, right))
             if left + right >= least:
-                h, rid, doc_id, pos = a[0][:4]
-                out.append((h, rid, doc_id, pos, None, None, left, right, b[0][2]))
+                out.append((*a[:4], None, None, left, right, b[2], MATCH))
+
+        def release(row):
+            a, best = row
+            if best[0] < 0:
+                return
+            right, left = best if forwards else best[::-1]
+            if right < a[4].count(b" ") + bool(a[4]) or left < a[5].count(b" ") + bool(a[5]):
+                out.append((*a[:4], None, None, left, right, None, OPEN))
 
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
 
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = (values, values[4].split(b" "), values[5].split(b" ") if values[5] else [])
+                row = [values, (-1, -1)]
                 if last is not None and last[0][1] != values[1]:
                     before = last
                     for waiting in held:
                         match(waiting, row)
+                        release(waiting)
                     held = []
                 if before is not None:
                     match(row, before)
-                # only the last row of a document's run and the first can be nearest; all wait
+                if held and held[-1][0][0] != values[0]:  # nothing of their beginning follows
+                    for waiting in held:
+                        release(waiting)
+                    held = []
                 held.append(row)
-                if len(held) > 1 and held[-1][0][0] != held[-2][0][0]:
-                    held = held[-1:]
                 last = row
                 if not heads_done:
-                    head.append(row)
-                    if head[0][0][1] != values[1]:
-                        heads_done = True
+                    head.append(values)
+                    heads_done = head[0][1] != values[1]
             if len(out) >= 5000:
                 yield emit()
                 out.clear()
+        for waiting in held:
+            release(waiting)
         if edges:
-            tail = held + ([before] if before is not None else [])
-            keep = {(r[0][0], r[0][1], r[0][3]): r[0] for r in [*head, *tail]}
-            out.extend((*r, None, None, None) for r in keep.values())
+            tail = [r[0] for r in held] + ([before[0]] if before is not None else [])
+            keep = {(v[0], v[1], v[3]): v for v in [*head, *tail]}
+            out.extend((*v, None, None, None, EDGE) for v in keep.values())
         if out:
             yield emit()
 
@@ -193,13 +217,48 @@ def _neighbours(least: int, edges: bool):
 
 
 def _matches(suffixes: DataFrame, order: list[str], least: int) -> DataFrame:
-    """rid, doc_id, pos, left_words, right_words, other_id from one sorted order."""
-    rows = suffixes.select("h", "rid", "doc_id", "pos", "ahead", "back")
+    """h, rid, doc_id, pos, left_words, right_words, other_id, state from one sorted order."""
+    rows, forwards = suffixes.select("h", "rid", "doc_id", "pos", "ahead", "back"), order[0] == "ahead"
     keys = ["h", *order, "rid", "pos"]
-    first = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, True), FOUND)).df
-    edge = first.where(F.col("left_words").isNull()).select("h", "rid", "doc_id", "pos", "ahead", "back")
-    again = edge.repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, False), FOUND)
-    return first.where(F.col("left_words").isNotNull()).unionByName(again).select("rid", "doc_id", "pos", "left_words", "right_words", "other_id")
+    first = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, True), FOUND)).df
+    edge = first.where(F.col("state") == EDGE).select("h", "rid", "doc_id", "pos", "ahead", "back")
+    again = edge.repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, False), FOUND)
+    return first.where(F.col("state") != EDGE).unionByName(again).drop("ahead", "back")
+
+
+def _unresolved(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
+    """h of beginnings with a row whose best match ahead and best match back are different
+    ones: a third one, neither's neighbour, may join to ``least`` words."""
+    one = a.where(F.col("state") == OPEN).groupBy("h", "rid", "pos").agg(F.max(F.struct("right_words", "left_words")).alias("x"))
+    two = b.where(F.col("state") == OPEN).groupBy("h", "rid", "pos").agg(F.max(F.struct("left_words", "right_words")).alias("y"))
+    apart = (F.col("x.left_words") < F.col("y.left_words")) & (F.col("y.right_words") < F.col("x.right_words"))
+    return one.join(two, ["h", "rid", "pos"]).where(apart & (F.col("x.right_words") + F.col("y.left_words") >= least)).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+
+
+def windows_of(suffixes: DataFrame, least: int) -> DataFrame:
+    """Every run of ``least`` words around each suffix, as rid, doc_id, start and the words' 128-bit hash."""
+    names, types = ["rid", "doc_id", "start", "content"], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for rid, doc_id, pos, ahead, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = (back.split(b" ")[::-1] if back else []) + ahead.split(b" ")
+                start = pos - (len(words) - ahead.count(b" ") - 1)
+                for i in range(len(words) - least + 1):
+                    for column, x in zip(out, (rid, doc_id, start + i, xxhash.xxh128_digest(b" ".join(words[i : i + least]))), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names)
+
+    return suffixes.select("rid", "doc_id", "pos", "ahead", "back").mapInArrow(run, "rid long, doc_id long, start int, content binary")
+
+
+def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
+    """rid, doc_id, a, b, other_id of the windows that two documents have."""
+    rows = Table(windows_of(suffixes, least)).df
+    twice = rows.groupBy("content").agg(F.min("rid").alias("x"), F.max("rid").alias("y"), F.min("doc_id").alias("u"), F.max("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("x < y")
+    found = join_hot(rows, twice, "content", "n", rows.count())
+    return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.when(F.col("doc_id") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other_id"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int, int]]:
@@ -222,8 +281,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     shared = Table(shared).df
     places = join_hot(kept, shared, "h", "n", kept.count()).groupBy("rid").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
     suffixes = Table(with_context(rows.join(places, "rid"), window, least)).df
-    found = _matches(suffixes, ["ahead", "back"], least).unionByName(_matches(suffixes, ["back", "ahead"], least))
-    spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("left_words")).alias("a"), (F.col("pos") + F.col("right_words")).alias("b"), "other_id")).alias("spans"))
+    ahead, back = (Table(_matches(suffixes, order, least)).df for order in (["ahead", "back"], ["back", "ahead"]))
+    spans = [
+        m.where(F.col("state") == MATCH).select("rid", "doc_id", (F.col("pos") - F.col("left_words")).alias("a"), (F.col("pos") + F.col("right_words")).alias("b"), "other_id") for m in (ahead, back)
+    ]
+    rest = suffixes.join(Table(_unresolved(ahead, back, least)).df.select("h"), "h", "left_semi")
+    found = spans[0].unionByName(spans[1]).unionByName(_shared_windows(rest, least))
+    spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b", "other_id")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

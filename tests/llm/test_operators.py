@@ -364,6 +364,37 @@ def test_suffix_against_brute_force(spark):
     assert got == want
 
 
+def covered(texts, least):
+    docs = [(t or "").split() for t in texts]
+    owners = collections.defaultdict(set)
+    for d, w in enumerate(docs):
+        for i in range(len(w) - least + 1):
+            owners[tuple(w[i : i + least])].add(d)
+    return {(d, j) for d, w in enumerate(docs) for i in range(len(w) - least + 1) if len(owners[tuple(w[i : i + least])]) > 1 for j in range(i, i + least)}
+
+
+def test_suffix_staggered_surroundings(spark):
+    """Texts that share a beginning but more or less before and after it, so that the best
+    neighbours in either order are not the best match."""
+    r, master, texts = random.Random(21), prose(77, 40).split(), []
+    for _ in range(250):
+        a, b = sorted(r.sample(range(41), 2))
+        texts.append(" ".join(r.choice(WORDS) for _ in range(r.randint(0, 6))) + " " + " ".join(master[a:b]) + " " + " ".join(r.choice(WORDS) for _ in range(r.randint(0, 6))))
+    got = {(x["doc_id"], j) for x in suffix.repeated_passages(frame(spark, texts), least=12, gram=4).collect() for j in range(x["start_word"], x["end_word"])}
+    assert got == covered(texts, 12)
+
+
+def test_common_words():
+    r = random.Random(2)
+    for _ in range(2000):
+        a = [r.choice(["a", "ab", "abc", "b"]) for _ in range(r.randint(0, 5))]
+        b = [r.choice(["a", "ab", "abc", "b"]) for _ in range(r.randint(0, 5))]
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        assert suffix.common_words(" ".join(a).encode(), " ".join(b).encode()) == n
+
+
 def test_bpe(awkward, empty):
     slow, t = library("byte_bpe_50k.json")
     got = bpe.digests(awkward).collect()
