@@ -123,7 +123,7 @@ def i15(spark, d):
     return inf.split_half(order_runs(spark, d), "unit", "model")
 
 
-@register("i16_matched_subsample")
+@register("i16_matched_subsample", f"WITH {ORDER_RUNS}, c AS (SELECT model, count(*) AS n FROM runs GROUP BY model) SELECT model, (SELECT min(n) FROM c) AS runs FROM c")
 def i16(spark, d):
     return inf.matched_subsample(order_runs(spark, d), "model", "run").groupBy("model").agg(F.count(F.lit(1)).alias("runs"))
 

@@ -24,6 +24,11 @@ def a02r(spark, d):
     return rounded(auroc.pooled(order_runs(spark, d)))
 
 
+@register("a02s_pooled_auroc_sampled")
+def a02s(spark, d):
+    return auroc.pooled_sampled(order_runs(spark, d), 200_000, "run")
+
+
 @register("a03_within_auroc", f"WITH {PART_RUNS}, {PAIRS}, {PER_UNIT} SELECT round(sum(num) / sum(den), 9) AS auroc, CAST(sum(den) AS BIGINT) AS pairs, count(*) AS mixed_units FROM per_unit")
 def a03(spark, d):
     return rounded(auroc.within(part_runs(spark, d), ["unit"]))

@@ -52,10 +52,17 @@ def a16(spark, d):
     return rounded(outcome.leave_one_out_auroc(order_runs(spark, d), ["unit"]))
 
 
-@register("a17_finite_r_loo")
+@register(
+    "a17_finite_r_loo",
+    f"""{O}, kd AS (SELECT r, s, count(*)::DOUBLE AS m FROM units WHERE r > 1 GROUP BY r, s), g AS (SELECT kd.*, k.k FROM kd, (SELECT unnest(range(0, 200)) AS k) k WHERE k.k <= r - 1),
+    p AS (SELECT *, CASE WHEN s = 0 THEN (k = 0)::INT::DOUBLE WHEN s = r THEN (k = r - 1)::INT::DOUBLE ELSE exp(lgamma(r) - lgamma(k + 1) - lgamma(r - k) + k * ln(s / r::DOUBLE) + (r - 1 - k) * ln(1 - s / r::DOUBLE)) END AS f FROM g),
+    h AS (SELECT round(k / (r - 1)::DOUBLE, 10) AS x, sum(m * s * f) AS p, sum(m * (r - s) * f) AS n FROM p GROUP BY 1),
+    b AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h), t AS (SELECT sum(p * (below + n / 2)) AS c, sum(p) AS pp, sum(n) AS nn FROM b), sm AS (SELECT sum(m * s * (r - s)) AS same FROM kd)
+    SELECT round((c - same / 2) / (pp * nn), 8) AS auroc FROM t, sm""",
+)
 def a17(spark, d):
     """Predicted leave-one-out AUROC from the units' rates and repeats."""
-    return rounded(outcome.finite_r(units(spark, d)))
+    return rounded(outcome.finite_r(units(spark, d)), 8)
 
 
 NULL = "SELECT round(sqrt(sum(s * (r - s) * (r + 1) / 12.0::DOUBLE)) / sum(s * (r - s)), 9) AS null_sd, round(0.5::DOUBLE + 2.80::DOUBLE * sqrt(sum(s * (r - s) * (r + 1) / 12.0::DOUBLE)) / sum(s * (r - s)), 9) AS mde, CAST(sum(s * (r - s)) AS BIGINT) AS pairs, count(*) AS mixed_units FROM units WHERE s > 0 AND s < r"
@@ -171,7 +178,7 @@ def a38(spark, d):
     return order_runs(spark, d).agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("unit").alias("units"), F.countDistinct("model").alias("models"), F.countDistinct("unit", "model").alias("cells"))
 
 
-@register("a39_beta_fit")
+@register("a39_beta_fit", f"{O}, m AS (SELECT avg(1 - s / r::DOUBLE) AS m1, var_pop(1 - s / r::DOUBLE) AS v FROM units), z AS (SELECT m1, v, greatest(m1 * (1 - m1) / v - 1, 1e-3::DOUBLE) AS size FROM m) SELECT round(m1, 6) AS m1, round(v, 6) AS v, round(m1 * size, 6) AS alpha, round((1 - m1) * size, 6) AS beta FROM z")
 def a39(spark, d):
     """Beta parameters from the first moments of repeated success, and their ceiling."""
     return rounded(outcome.beta_moments(units(spark, d)), 6)

@@ -258,7 +258,7 @@ def u06(spark, d):
     return f.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("id").alias("distinct_ids"), (F.count(F.lit(1)) == F.countDistinct("id")).alias("disjoint"))
 
 
-@register("u07_schema_check")
+@register("u07_schema_check", "SELECT o_orderkey FROM orders")
 def u07(spark, d):
     frames = [table(spark, d, "orders").where(f"o_custkey % 2 = {i}") for i in (0, 1)]
     rel.assert_same_schema(frames)

@@ -50,7 +50,7 @@ def s04(spark, d):
     return readers.outcome_csv(spark, path)
 
 
-@register("s05_run_files")
+@register("s05_run_files", "SELECT 'task' || i AS task, CAST(i + 1 AS INTEGER) AS run, 2 AS commands FROM (SELECT unnest(range(0, 4)) AS i)")
 def s05(spark, d):
     """One file for each run; the task and run come back from its name."""
     path = folder(spark)
@@ -98,7 +98,7 @@ def s09w(spark, d):
     return readers.widest(e, "label", "x", "vec_id").select("label", F.size("x").alias("width"))
 
 
-@register("s10_simulations")
+@register("s10_simulations", "SELECT m AS model, 'airline' AS domain, 'base' AS config, '1' AS task, y FROM (VALUES ('m1'), ('m2')) a(m), (VALUES (0), (1)) b(y)")
 def s10(spark, d):
     path = folder(spark)
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
