@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .vocab import BYTE_BPE, byte_letters, character_class, latin, load
 
 #: Words and transitions a worker remembers before it starts anew.
@@ -221,6 +222,7 @@ def encoded(docs: DataFrame, vocabulary: str = BYTE_BPE, text: str = "text", key
             ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(i).decode() for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
@@ -238,4 +240,5 @@ def digests(docs: DataFrame, vocabulary: str = BYTE_BPE, text: str = "text", key
                 b.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,6 +7,8 @@ from __future__ import annotations
 import atexit
 import importlib.util
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -59,8 +61,9 @@ def clean_up() -> None:
         spark, path = _written.pop()
         try:
             delete(spark, path)
-        except Exception:  # the session has ended: the cluster cleans its own folder
-            pass
+        except Exception:  # the session has ended; what lies on this machine can still go
+            if path.startswith("file:"):
+                shutil.rmtree(path[5:].replace("//", "/"), ignore_errors=True)
 
 
 atexit.register(clean_up)
@@ -82,9 +85,19 @@ class Table:
         delete(self.spark, self.path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself where it only reads, filters and projects, so that its rows come in
+    one order every time; else written once, as rows behind a shuffle may come in another."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if re.search("Exchange|Join|Aggregate|Sort|Window|Limit|Sample|Python|Pandas|Arrow", plan):
+        return Table(df).df
+    return df
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Number rows by their place in the scan. The files and splits of a scan do
     not change between jobs, so a retried task gives its rows the same ids."""
+    ship(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, with_row_id
+from .common import Table, join_hot, settled, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, fixed.
@@ -202,6 +202,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Dat
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets. Where spans of several
     kinds overlap the first in the text is replaced. ``n_chars``, where there is one, follows the text."""
+    docs = settled(docs)
     found = find(docs, text, key, **how).where(F.size("found") > 0).select(F.col("rid").alias("_rid"), F.col("found").alias("_found"))
     rows = with_row_id(docs, "_row_rid").join(found, F.col("_row_rid") == F.col("_rid"), "left")
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))

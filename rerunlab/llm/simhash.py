@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, with_row_id
+from .common import Table, join_hot, settled, with_row_id
 from .graph import components
 
 SEED, BITS = 42, 64
@@ -144,5 +144,6 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one row of each component; all columns stay."""
+    docs = settled(docs)
     kept = near_groups(docs, text, key, **how).where("kept").select(F.col("rid").alias("_kept_rid"))
     return with_row_id(docs, "_row_rid").join(kept, F.col("_row_rid") == F.col("_kept_rid"), "left_semi").drop("_row_rid")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, with_row_id
+from .common import Table, join_hot, settled, with_row_id
 
 LEAST, GRAM = 50, 20
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -275,7 +275,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     """One row for each passage of ``least`` words or more that another document has too:
     rid, doc_id, start_word, end_word (exclusive), n_words, other_id (one such document)."""
     window = least - gram + 1
-    rows = with_row_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "rid")
+    rows = with_row_id(settled(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "rid")
     kept = Table(kept_suffixes(rows, gram, window)).df
     shared = kept.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
     shared = Table(shared).df

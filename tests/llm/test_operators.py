@@ -220,6 +220,30 @@ def test_encoders_equal_the_library(name, make, awkward):
         assert np.array_equal(e.ids(t), slow(t)), t[:80]
 
 
+@pytest.mark.parametrize("make", [vocab.byte_encoder, vocab.word_encoder])
+def test_encoders_equal_the_library_everywhere(make):
+    """Every vocabulary entry by itself and in a text, and every code point beside letters, digits and blanks."""
+    e, letters = make(), vocab.byte_letters()
+    texts = []
+    for token in e.spec["model"]["vocab"]:
+        s = bytes(letters[c] for c in token.replace("</w>", "")).decode("utf8", "ignore")
+        texts.append(f"{s} x{s}{s} {s}'s")
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts += ["".join(f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}." for c in codes[i : i + 40]) for i in range(0, len(codes), 40)]
+    want = [np.array(x.ids, np.uint32) for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    for t, w in zip(texts, want, strict=True):
+        assert np.array_equal(e.ids(t), w), t[:60]
+
+
+def test_automaton_splits_like_the_library():
+    """Every code point through the automaton's own splitter."""
+    c, e = bpe.coder(), vocab.byte_encoder()
+    codes = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(x)}1{chr(x)}{chr(x)} {chr(x)}." for x in codes[i : i + 40]) for i in range(0, len(codes), 40)]
+    for t, w in zip(texts, e.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert c.encode(t) == np.array(w.ids, "<u4").tobytes(), t[:60]
+
+
 def test_token_files(spark, awkward, empty, tmp_path):
     slow, _ = library("byte_bpe_50k.json")
     got = [tuple(r) for r in tokenfile.token_table(awkward, part_bytes=20_000).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
