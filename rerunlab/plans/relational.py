@@ -27,7 +27,7 @@ def p02(spark, d):
 
 @register("p03_min_activity", f"WITH {EVENT_STEPS}, k AS (SELECT user_id, day FROM steps GROUP BY user_id, day HAVING count(*) >= 2) SELECT s.user_id, s.day, s.step, s.act FROM steps s JOIN k ON s.user_id = k.user_id AND s.day = k.day")
 def p03(spark, d):
-    return rel.at_least(event_steps(spark, d), RUN, 2).select("user_id", "day", "step", "act")
+    return rel.at_least(event_steps(spark, d), RUN, 2).select("user_id", "day", F.col("step").cast("long").alias("step"), "act")
 
 
 @register("p04_mixed_units", f"{O}, k AS (SELECT unit FROM runs GROUP BY unit HAVING min(y) < max(y)) SELECT runs.run, runs.unit, runs.y FROM runs JOIN k ON runs.unit = k.unit")

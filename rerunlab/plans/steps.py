@@ -32,9 +32,9 @@ def w05(spark, d):
     return order_runs(spark, d).select("run", F.row_number().over(Window.partitionBy("unit").orderBy("run")).cast("long").alias("run_index"))
 
 
-@register("w06_demean", f"WITH {ORDER_RUNS} SELECT run, round(s - avg(s) OVER (PARTITION BY unit), 4) AS demeaned FROM runs")
+@register("w06_demean", f"WITH {ORDER_RUNS} SELECT run, round(s - avg(s) OVER (PARTITION BY unit), 7) AS demeaned FROM runs")
 def w06(spark, d):
-    return rounded(order_runs(spark, d).select("run", (F.col("s") - F.avg("s").over(Window.partitionBy("unit"))).alias("demeaned")), 4)
+    return rounded(order_runs(spark, d).select("run", (F.col("s") - F.avg("s").over(Window.partitionBy("unit"))).alias("demeaned")), 7)
 
 
 @register(
