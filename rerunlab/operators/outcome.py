@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.special import beta_mean_difference_udf
 from .auroc import below, pooled, ratio
 
 D = F.lit
@@ -179,14 +180,19 @@ def priority(df: DataFrame, task: str = "task", y: str = "y", cost: str = "cost"
 
 
 def beta_moments(units: DataFrame) -> DataFrame:
-    """Beta(a, b) with the mean and variance of the units' success rates, and the
-    mixedness-based ceiling from the mean difference of its grid."""
+    """Beta(a, b) with the mean and variance of the units' success rates."""
     rate = 1 - F.col("s") / F.col("r")
     m = units.agg(F.avg(rate).alias("m1"), F.var_pop(rate).alias("v"))
     size = F.greatest(F.try_divide(F.col("m1") * (1 - F.col("m1")), F.col("v")) - 1, D(1e-3))
     return m.select("m1", "v", (F.col("m1") * size).alias("alpha"), ((1 - F.col("m1")) * size).alias("beta"))
 
 
+def beta_ceiling(fit: DataFrame) -> DataFrame:
+    """``beta_moments`` with the difficulty-only ceiling 0.5 + MD / (4 m (1 - m)) of the fitted Beta."""
+    md = beta_mean_difference_udf("alpha", "beta")
+    return fit.withColumn("ceiling", D(0.5) + F.try_divide(md, 4 * F.col("m1") * (1 - F.col("m1"))))
+
+
 def pseudo_counts(df: DataFrame, task: str, success: str, weight: float) -> DataFrame:
     """Beta pseudo-counts of each task from another table's runs."""
     return df.groupBy(task).agg((1 + weight * F.sum(success)).alias("alpha"), (1 + weight * (F.count(D(1)) - F.sum(success))).alias("beta"))

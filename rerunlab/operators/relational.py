@@ -17,7 +17,7 @@ def binarise(success: Column, kind: str) -> Column:
         return 1 - success.cast("int")
     if kind == "text":
         word = F.lower(F.trim(success.cast("string")))
-        yes = word.isin("true", "pass", "passed", "success", "resolved") | (F.try_to_number(word, F.lit("9.9")) >= 1)
+        yes = word.isin("true", "pass", "passed", "success", "resolved") | (word.try_cast("double") >= 1.0)
         return F.when(F.coalesce(yes, F.lit(False)), 0).otherwise(1)
     raise ValueError(f"unknown label kind: {kind}")
 

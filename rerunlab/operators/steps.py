@@ -33,7 +33,8 @@ def prefix_turns(steps: DataFrame, k: int) -> DataFrame:
 def prefix_fraction(steps: DataFrame, run: list[str], fraction: float) -> DataFrame:
     """max(1, round half even of n * fraction) steps."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*run))
-    return steps.where(F.col("step") <= F.lit(1)).unionByName(steps.limit(0)) if fraction <= 0 else steps.withColumn("_n", n).where(F.col("step") <= F.greatest(F.lit(1.0), F.bround(F.col("_n") * F.lit(float(fraction)), 0))).drop("_n")
+    last = F.greatest(F.lit(1.0), F.bround(F.col("_n") * F.lit(float(fraction)), 0))
+    return steps.withColumn("_n", n).where(F.col("step") <= last).drop("_n")
 
 
 def prefix_budget(steps: DataFrame, run: list[str], size: str, budget: float) -> DataFrame:

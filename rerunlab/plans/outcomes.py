@@ -184,6 +184,11 @@ def a39(spark, d):
     return rounded(outcome.beta_moments(units(spark, d)), 6)
 
 
+@register("a39c_beta_ceiling")
+def a39c(spark, d):
+    return outcome.beta_ceiling(outcome.beta_moments(units(spark, d)))
+
+
 @register("a40_pseudo_counts", f"WITH {PART_RUNS}, b AS (SELECT unit, sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) AS s, count(*) AS n FROM runs GROUP BY unit) SELECT unit, 1 + 0.5::DOUBLE * s AS alpha, 1 + 0.5::DOUBLE * (n - s) AS beta FROM b")
 def a40(spark, d):
     other = part_runs(spark, d).withColumn("success", (F.col("status") == "F").cast("int"))

@@ -152,6 +152,7 @@ def test_special_functions():
     assert sum(special.binomial_pmf(7, 0.3)) == pytest.approx(1.0) and special.binomial_pmf(3, 0.0) == [1.0, 0.0, 0.0, 0.0]
     assert special.beta_survival(0.3, 1, 1) == pytest.approx(0.7)
     assert special.beta_survival(0.4, 2, 3) == pytest.approx(1 - (6 * 0.16 - 8 * 0.064 + 3 * 0.0256), abs=1e-10)
+    assert special.beta_mean_difference(1, 1) == pytest.approx(1 / 3, abs=1e-6)
     assert special.beta_survival(0.9, 50, 5) == pytest.approx(1 - special.beta_survival(0.1, 5, 50))
 
 
