@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Above so many distinct scores a running sum is cut into ranges.
+#: Estimated bytes up to which a running sum is simply sorted; past it rows are counted.
+SMALL = 32 << 20
+#: Above so many distinct scores, over all or in one group, a running sum is cut into ranges.
 ONE_TASK = 2_000_000
 RANGES = 256
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate; runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; NULL where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -36,22 +43,31 @@ def histogram(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
 
 
 def below(hist: DataFrame, by: list[str], value: str = "n", out: str = "below") -> DataFrame:
-    """Exclusive running sum of ``value`` over scores in each group. With grouping
-    columns a group is sorted in its task. Without them, and past ONE_TASK scores,
-    scores are cut into RANGES by their quantiles: each range is summed by itself and
-    starts from the totals of those before it."""
-    over = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1) if by else None
-    if by:
-        return hist.withColumn(out, F.coalesce(F.sum(value).over(over), F.lit(0)))
-    whole = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    if hist.count() <= ONE_TASK:
-        return hist.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
-    cuts = sorted(set(hist.approxQuantile("_s", [i / RANGES for i in range(1, RANGES)], 0.0005)))
-    ranged = hist.withColumn("_range", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("_s"))))
-    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_t"))
-    starts = totals.select("_range", F.coalesce(F.sum("_t").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    local = Window.partitionBy("_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn(out, F.coalesce(F.sum(value).over(local), F.lit(0))).join(F.broadcast(starts), "_range").withColumn(out, F.col(out) + F.col("_start")).drop("_range", "_start")
+    """Exclusive running sum of ``value`` over scores in each group, or over all scores.
+
+    Small inputs are sorted in place. In large ones, groups with over ONE_TASK scores (or
+    the whole, without groups) are cut into RANGES by their own quantiles: each range is
+    summed by itself and starts from the totals of those before it. The groups found to
+    be that large, and their cuts, stay in the plan; nothing comes to the driver."""
+    if estimated_bytes(hist) <= SMALL:
+        return _sorted_sum(hist, by, value, out)
+    keys = by or ["_all"]
+    rows = hist if by else hist.withColumn("_all", F.lit(0))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > ONE_TASK).select(*keys)
+    wanted = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cuts = rows.join(sizes, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("_s", wanted, 10_000).alias("_cuts"))
+    ranged = rows.join(cuts, keys, "left").withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_s"))), F.lit(-1)))
+    local = _sorted_sum(ranged, [*keys, "_range"], value, out)
+    totals = ranged.where("_range >= 0").groupBy(*keys, "_range").agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    done = local.join(starts, [*keys, "_range"], "left").withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0)))
+    return done.select(*hist.columns, out)
+
+
+def _sorted_sum(hist: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn(out, F.coalesce(F.sum(value).over(over), F.lit(0)))
 
 
 def pair_sums(df: DataFrame, by: list[str], y: str = "y", score: str = "s") -> DataFrame:

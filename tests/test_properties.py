@@ -72,11 +72,17 @@ def test_metamorphic(runs):
     assert auroc.pooled(extra).first()["auroc"] != auroc.pooled(runs).first()["auroc"]
 
 
-def test_range_cut_running_sum(runs, monkeypatch):
-    whole = auroc.pooled(runs).first()["auroc"]
-    monkeypatch.setattr(auroc, "ONE_TASK", 10)
+@pytest.mark.parametrize("most", [0, 8, 10**6])
+def test_range_cut_running_sum(runs, monkeypatch, most):
+    """Cutting all, some or no groups into ranges changes nothing."""
+    more = runs.unionByName(runs.withColumn("unit", F.lit("hot")))
+    whole, inside, split = auroc.pooled(more).first(), auroc.within(more, ["unit"]).first(), auroc.decomposition(more, ["unit"]).first()
+    monkeypatch.setattr(auroc, "SMALL", 0)
+    monkeypatch.setattr(auroc, "ONE_TASK", most)
     monkeypatch.setattr(auroc, "RANGES", 7)
-    assert math.isclose(auroc.pooled(runs).first()["auroc"], whole, abs_tol=1e-12)
+    assert math.isclose(auroc.pooled(more).first()["auroc"], whole["auroc"], abs_tol=1e-12)
+    assert math.isclose(auroc.within(more, ["unit"]).first()["auroc"], inside["auroc"], abs_tol=1e-12)
+    assert np.allclose(auroc.decomposition(more, ["unit"]).first(), split, atol=1e-12)
 
 
 def test_null_scores_and_labels_are_left_out(runs):
