@@ -41,12 +41,12 @@ def _name(df: DataFrame, content: str, buckets: int, hot: DataFrame) -> DataFram
     )
     order = Window.partitionBy("_bucket", "_salt").orderBy("_hash", content)
     ranked = rows.withColumn("_rank", F.dense_rank().over(order)).withColumn("_before", F.lag("_hash").over(order)).withColumn("_same", F.lag(content).over(order))
-    first = F.col("_before").isNull() | ~(F.col("_same") == F.col(content))
+    first = F.col("_before").isNull() | ~F.col("_same").eqNullSafe(F.col(content))
     kept = [c for c in df.columns if c != content]
     return ranked.select(*kept, "_bucket", "_salt", "_rank", F.when((F.col("_salt") > 0) & first, F.col(content)).alias("_content"))
 
 
-def _settled(named: DataFrame) -> DataFrame:
+def _joined(named: DataFrame) -> DataFrame:
     """Join up the partial names of hot contents: each sub-bucket sends one row for a
     content, at most 1,000 contents times SALTS rows in all."""
     ranks = Window.partitionBy("_bucket").orderBy("_content")
@@ -79,7 +79,7 @@ def name_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", blo
     count, most = int(total[0] or 0), int(total[1] or 1)
     hot = hashes.df.where(F.col("n") > max(1000, count // 1000)).select("_hash")
     buckets = max(1, -(-count // PER_BUCKET))
-    level = Table(_settled_from(_name(blocks, "_block", buckets, hot)))
+    level = Table(_final(_name(blocks, "_block", buckets, hot)))
     hashes.drop()
     heads = level.df.where(F.col("pos") == 0).select("rid", "doc_id", "text_sha256")
     names = level.df.select("rid", "pos", "n_blocks", "name")
@@ -96,7 +96,7 @@ def name_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", blo
         n = paired.df.count()
         hot_pairs = _hot(paired.df.select(F.xxhash64("_pair").alias("_hash")), n)
         tables.append(paired)
-        level = Table(_settled_from(_name(paired.df, "_pair", max(1, -(-n // (8 * PER_BUCKET))), hot_pairs)))
+        level = Table(_final(_name(paired.df, "_pair", max(1, -(-n // (8 * PER_BUCKET))), hot_pairs)))
         ended = F.col("n_blocks") <= width
         done.append(level.df.where(ended).select("rid", "n_blocks", "name"))
         rest = level.df.where(~ended)
@@ -106,10 +106,10 @@ def name_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", blo
     return last.join(heads, "rid").select("rid", "doc_id", "text_sha256", "n_blocks", "name")
 
 
-def _settled_from(named: DataFrame) -> DataFrame:
+def _final(named: DataFrame) -> DataFrame:
     """Names are written before partial names are joined up: a rank must not be
     counted anew with the rows in another order."""
-    return _settled(Table(named).df)
+    return _joined(Table(named).df)
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
