@@ -14,9 +14,9 @@ Extensions reach ``window`` words back and ``least`` words on, which is as far a
 next kept suffix of the passage, so the matches of its suffixes join to the whole of it.
 
 Where a suffix's best match ahead and its best match back are with different texts, a
-third text, no neighbour in either order, might match over more words; the runs of
-``least`` words around all suffixes of that beginning are then compared as wholes, by
-128-bit hashes, so that no match is lost.
+third text, no neighbour in either order, might share a run of ``least`` words that
+neither has; the runs in doubt are then compared as wholes over all suffixes of that
+beginning, by 128-bit hashes, so that no match is lost.
 
 Sorted rows are dealt by ranges that may split one beginning, or one whole context,
 over tasks; the rows at the edges of the ranges, a few for each task, are compared
@@ -227,30 +227,37 @@ def _matches(suffixes: DataFrame, order: list[str], least: int) -> DataFrame:
 
 
 def _unresolved(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
-    """h of beginnings with a row whose best match ahead and best match back are different
-    ones: a third one, neither's neighbour, may join to ``least`` words."""
+    """h, back: beginnings and numbers of words before them for which a run of ``least``
+    words is in doubt. A row's best match ahead shares so much (r1) on and so much back
+    (l1), its best match back r2 and l2. Runs with up to l1 words back and r1 on, or l2 and
+    r2, are matched by these two; ones with over l2 back or over r1 on by nothing. Those
+    in between might be matched by a third text."""
     one = a.where(F.col("state") == OPEN).groupBy("h", "rid", "pos").agg(F.max(F.struct("right_words", "left_words")).alias("x"))
     two = b.where(F.col("state") == OPEN).groupBy("h", "rid", "pos").agg(F.max(F.struct("left_words", "right_words")).alias("y"))
-    apart = (F.col("x.left_words") < F.col("y.left_words")) & (F.col("y.right_words") < F.col("x.right_words"))
-    return one.join(two, ["h", "rid", "pos"]).where(apart & (F.col("x.right_words") + F.col("y.left_words") >= least)).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    low = F.greatest(F.col("x.left_words") + 1, least - F.col("x.right_words"))
+    high = F.least(F.col("y.left_words"), least - 1 - F.col("y.right_words"))
+    doubt = one.join(two, ["h", "rid", "pos"]).select("h", low.alias("low"), high.alias("high")).where("low <= high")
+    return doubt.select("h", F.explode(F.sequence("low", "high")).alias("j")).groupBy("h").agg(F.collect_set("j").alias("backs"))
 
 
 def windows_of(suffixes: DataFrame, least: int) -> DataFrame:
-    """Every run of ``least`` words around each suffix, as rid, doc_id, start and the words' 128-bit hash."""
+    """The runs of ``least`` words that start ``backs`` words before each suffix, as rid,
+    doc_id, start and the words' 128-bit hash."""
     names, types = ["rid", "doc_id", "start", "content"], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for rid, doc_id, pos, ahead, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (back.split(b" ")[::-1] if back else []) + ahead.split(b" ")
-                start = pos - (len(words) - ahead.count(b" ") - 1)
-                for i in range(len(words) - least + 1):
-                    for column, x in zip(out, (rid, doc_id, start + i, xxhash.xxh128_digest(b" ".join(words[i : i + least]))), strict=True):
-                        column.append(x)
+            for rid, doc_id, pos, ahead, back, backs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, after = back.split(b" ") if back else [], ahead.split(b" ")
+                for j in backs:
+                    if j <= len(before) and least - j <= len(after):
+                        content = xxhash.xxh128_digest(b" ".join(before[:j][::-1] + after[: least - j]))
+                        for column, x in zip(out, (rid, doc_id, pos - j, content), strict=True):
+                            column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names)
 
-    return suffixes.select("rid", "doc_id", "pos", "ahead", "back").mapInArrow(run, "rid long, doc_id long, start int, content binary")
+    return suffixes.select("rid", "doc_id", "pos", "ahead", "back", "backs").mapInArrow(run, "rid long, doc_id long, start int, content binary")
 
 
 def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
@@ -261,14 +268,21 @@ def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
     return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.when(F.col("doc_id") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other_id"))
 
 
-def _merged(spans: list[dict]) -> list[tuple[int, int, int]]:
-    out: list[list[int]] = []
-    for a, b, other in sorted((s["a"], s["b"], s["other_id"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b, other])
-    return [tuple(x) for x in out]
+def _merged(rows: np.ndarray, a: np.ndarray, b: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Spans (row, a, b, other) of each row with those that touch joined."""
+    out: list[tuple[int, int, int, int]] = []
+    order = np.lexsort((other, b, a, rows))
+    row = start = end = who = -1
+    for r, x, y, o in zip(rows[order].tolist(), a[order].tolist(), b[order].tolist(), other[order].tolist(), strict=True):
+        if r == row and x <= end:
+            end = max(end, y)
+            continue
+        if row >= 0:
+            out.append((row, start, end, who))
+        row, start, end, who = r, x, y, o
+    if row >= 0:
+        out.append((row, start, end, who))
+    return out
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -285,17 +299,19 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     spans = [
         m.where(F.col("state") == MATCH).select("rid", "doc_id", (F.col("pos") - F.col("left_words")).alias("a"), (F.col("pos") + F.col("right_words")).alias("b"), "other_id") for m in (ahead, back)
     ]
-    rest = suffixes.join(Table(_unresolved(ahead, back, least)).df.select("h"), "h", "left_semi")
+    rest = suffixes.join(Table(_unresolved(ahead, back, least)).df, "h")
     found = spans[0].unionByName(spans[1]).unionByName(_shared_windows(rest, least))
     spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b", "other_id")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for rid, doc_id, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(rid, doc_id, a, b, b - a, other) for a, b, other in _merged([s | {"other_id": s["other_id"] if s["other_id"] is not None else -1} for s in found])]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["rid", "doc_id", "start_word", "end_word", "n_words", "other_id"])
+            listed = batch.column(2)
+            flat = listed.flatten()
+            a, b, other = (flat.field(i).fill_null(-1).to_numpy(zero_copy_only=False) for i in range(3))
+            sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            found = np.array(_merged(np.repeat(np.arange(len(sizes)), sizes), a, b, other), np.int64).reshape(-1, 4)
+            rids, docs = (batch.column(i).take(pa.array(found[:, 0])) for i in (0, 1))
+            start, end = found[:, 1].astype(np.int32), found[:, 2].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rids, docs, pa.array(start), pa.array(end), pa.array(end - start), pa.array(found[:, 3])], ["rid", "doc_id", "start_word", "end_word", "n_words", "other_id"])
 
     return spans.mapInArrow(run, "rid long, doc_id long, start_word int, end_word int, n_words int, other_id long")
