@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from .common import Table, join_hot, settled, with_row_id
 
 BLOCK_BYTES = 4096
-#: Blocks in a task's sort, and what one sorted bucket holds on average.
-PER_BUCKET = 4096
+#: Blocks that one sorted bucket holds on average; a task sorts many buckets.
+PER_BUCKET = 256
 SALTS = 64
 
 
