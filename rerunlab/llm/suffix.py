@@ -220,10 +220,12 @@ def _matches(suffixes: DataFrame, order: list[str], least: int) -> DataFrame:
     """h, rid, doc_id, pos, left_words, right_words, other_id, state from one sorted order."""
     rows, forwards = suffixes.select("h", "rid", "doc_id", "pos", "ahead", "back"), order[0] == "ahead"
     keys = ["h", *order, "rid", "pos"]
-    first = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, True), FOUND)).df
-    edge = first.where(F.col("state") == EDGE).select("h", "rid", "doc_id", "pos", "ahead", "back")
+    first = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, True), FOUND))
+    edge = first.df.where(F.col("state") == EDGE).select("h", "rid", "doc_id", "pos", "ahead", "back")
     again = edge.repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, False), FOUND)
-    return first.where(F.col("state") != EDGE).unionByName(again).drop("ahead", "back")
+    both = Table(first.df.where(F.col("state") != EDGE).unionByName(again).drop("ahead", "back")).df
+    first.drop()
+    return both
 
 
 def _unresolved(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
@@ -290,17 +292,21 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     rid, doc_id, start_word, end_word (exclusive), n_words, other_id (one such document)."""
     window = least - gram + 1
     rows = with_row_id(settled(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "rid")
-    kept = Table(kept_suffixes(rows, gram, window)).df
-    shared = kept.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
-    shared = Table(shared).df
-    places = join_hot(kept, shared, "h", "n", kept.count()).groupBy("rid").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
-    suffixes = Table(with_context(rows.join(places, "rid"), window, least)).df
-    ahead, back = (Table(_matches(suffixes, order, least)).df for order in (["ahead", "back"], ["back", "ahead"]))
+    kept = Table(kept_suffixes(rows, gram, window))
+    shared = kept.df.groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("h", "n")
+    shared = Table(shared)
+    places = join_hot(kept.df, shared.df, "h", "n", kept.df.count()).groupBy("rid").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
+    suffixes = Table(with_context(rows.join(places, "rid"), window, least))
+    kept.drop()
+    shared.drop()
+    ahead, back = (_matches(suffixes.df, order, least) for order in (["ahead", "back"], ["back", "ahead"]))
     spans = [
         m.where(F.col("state") == MATCH).select("rid", "doc_id", (F.col("pos") - F.col("left_words")).alias("a"), (F.col("pos") + F.col("right_words")).alias("b"), "other_id") for m in (ahead, back)
     ]
-    rest = suffixes.join(Table(_unresolved(ahead, back, least)).df, "h")
-    found = spans[0].unionByName(spans[1]).unionByName(_shared_windows(rest, least))
+    rest = suffixes.df.join(Table(_unresolved(ahead, back, least)).df, "h")
+    third = _shared_windows(rest, least)
+    suffixes.drop()
+    found = spans[0].unionByName(spans[1]).unionByName(third)
     spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b", "other_id")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
