@@ -11,7 +11,9 @@ content: the words from there on, then the words before it, backwards. Neighbour
 this order, and in the order that compares backwards first, are compared and the
 match extended left and right word by word. A match of ``least`` words or more is kept.
 Extensions reach ``window`` words back and ``least`` words on, which is as far as the
-next kept suffix of the passage, so the matches of its suffixes join to the whole of it.
+next kept suffix of the passage, so the matches of its suffixes with one document join to
+the whole of it. Matches with different documents, or at different places of one, are not
+joined: each row is a passage that its ``other_ids`` have in one piece.
 
 Where a suffix's best match ahead and its best match back are with different texts, a
 third text, no neighbour in either order, might share a run of ``least`` words that
@@ -141,7 +143,7 @@ def common_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, low) + bool(whole)
 
 
-FOUND = "h long, rid long, doc_id long, pos int, ahead binary, back binary, left_words int, right_words int, other_id long, state string"
+FOUND = "h long, rid long, doc_id long, pos int, ahead binary, back binary, left_words int, right_words int, other_id long, other_rid long, shift int, state string"
 MATCH, OPEN, EDGE = "match", "open", "edge"
 
 
@@ -151,7 +153,7 @@ def _neighbours(least: int, forwards: bool, edges: bool):
     with ``edges`` also, whole, the first and last rows of the range up to the second
     document from its end."""
     names = [c.split()[0] for c in FOUND.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -168,7 +170,7 @@ def _neighbours(least: int, forwards: bool, edges: bool):
             right, left = common_words(a[4], b[4]), common_words(a[5], b[5])
             row[1] = max(row[1], (right, left) if forwards else (left, right))
             if left + right >= least:
-                out.append((*a[:4], None, None, left, right, b[2], MATCH))
+                out.append((*a[:4], None, None, left, right, b[2], b[1], b[3] - a[3], MATCH))
 
         def release(row):
             a, best = row
@@ -176,7 +178,7 @@ def _neighbours(least: int, forwards: bool, edges: bool):
                 return
             right, left = best if forwards else best[::-1]
             if right < a[4].count(b" ") + bool(a[4]) or left < a[5].count(b" ") + bool(a[5]):
-                out.append((*a[:4], None, None, left, right, None, OPEN))
+                out.append((*a[:4], None, None, left, right, None, None, None, OPEN))
 
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -209,7 +211,7 @@ def _neighbours(least: int, forwards: bool, edges: bool):
         if edges:
             tail = [r[0] for r in held] + ([before[0]] if before is not None else [])
             keep = {(v[0], v[1], v[3]): v for v in [*head, *tail]}
-            out.extend((*v, None, None, None, EDGE) for v in keep.values())
+            out.extend((*v, None, None, None, None, None, EDGE) for v in keep.values())
         if out:
             yield emit()
 
@@ -217,7 +219,7 @@ def _neighbours(least: int, forwards: bool, edges: bool):
 
 
 def _matches(suffixes: DataFrame, order: list[str], least: int) -> DataFrame:
-    """h, rid, doc_id, pos, left_words, right_words, other_id, state from one sorted order."""
+    """h, rid, doc_id, pos, left_words, right_words, other_id, other_rid, shift, state from one sorted order."""
     rows, forwards = suffixes.select("h", "rid", "doc_id", "pos", "ahead", "back"), order[0] == "ahead"
     keys = ["h", *order, "rid", "pos"]
     first = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, True), FOUND))
@@ -263,33 +265,36 @@ def windows_of(suffixes: DataFrame, least: int) -> DataFrame:
 
 
 def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
-    """rid, doc_id, a, b, other_id of the windows that two documents have."""
+    """rid, doc_id, a, b, other_id, other_rid, shift of the windows that two documents have."""
     rows = Table(windows_of(suffixes, least)).df
-    twice = rows.groupBy("content").agg(F.min("rid").alias("x"), F.max("rid").alias("y"), F.min("doc_id").alias("u"), F.max("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("x < y")
-    found = join_hot(rows, twice, "content", "n", rows.count())
-    return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.when(F.col("doc_id") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other_id"))
+    place = F.struct("rid", "doc_id", "start")
+    twice = rows.groupBy("content").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("n")).where("x.rid < y.rid")
+    found = join_hot(rows, twice, "content", "n", rows.count()).withColumn("o", F.when(F.col("rid") == F.col("x.rid"), F.col("y")).otherwise(F.col("x")))
+    return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.col("o.doc_id").alias("other_id"), F.col("o.rid").alias("other_rid"), (F.col("o.start") - F.col("start")).alias("shift"))
 
 
-def _merged(rows: np.ndarray, a: np.ndarray, b: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Spans (row, a, b, other) of each row with those that touch joined."""
+def _merged(rows: np.ndarray, a: np.ndarray, b: np.ndarray, other: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Spans (row, a, b, place in the input) of each row; those that touch are joined where
+    they lie equally shifted in one other row, which so has the joined span too."""
     out: list[tuple[int, int, int, int]] = []
-    order = np.lexsort((other, b, a, rows))
-    row = start = end = who = -1
-    for r, x, y, o in zip(rows[order].tolist(), a[order].tolist(), b[order].tolist(), other[order].tolist(), strict=True):
-        if r == row and x <= end:
+    order = np.lexsort((b, a, shift, other, rows))
+    key, start, end, at = None, -1, -1, -1
+    for i, *k, x, y in zip(order.tolist(), *(c[order].tolist() for c in (rows, other, shift, a, b)), strict=True):
+        if k == key and x <= end:
             end = max(end, y)
             continue
-        if row >= 0:
-            out.append((row, start, end, who))
-        row, start, end, who = r, x, y, o
-    if row >= 0:
-        out.append((row, start, end, who))
+        if key is not None:
+            out.append((key[0], start, end, at))
+        key, start, end, at = k, x, y, i
+    if key is not None:
+        out.append((key[0], start, end, at))
     return out
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each passage of ``least`` words or more that another document has too:
-    rid, doc_id, start_word, end_word (exclusive), n_words, other_id (one such document)."""
+    rid, doc_id, start_word, end_word (exclusive), n_words, other_id (the smallest of
+    other_ids), other_ids (the documents found that have it in one piece)."""
     window = least - gram + 1
     rows = with_row_id(settled(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "rid")
     kept = Table(kept_suffixes(rows, gram, window))
@@ -301,23 +306,28 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     shared.drop()
     ahead, back = (_matches(suffixes.df, order, least) for order in (["ahead", "back"], ["back", "ahead"]))
     spans = [
-        m.where(F.col("state") == MATCH).select("rid", "doc_id", (F.col("pos") - F.col("left_words")).alias("a"), (F.col("pos") + F.col("right_words")).alias("b"), "other_id") for m in (ahead, back)
+        m.where(F.col("state") == MATCH).select("rid", "doc_id", (F.col("pos") - F.col("left_words")).alias("a"), (F.col("pos") + F.col("right_words")).alias("b"), "other_id", "other_rid", "shift") for m in (ahead, back)
     ]
     rest = suffixes.df.join(Table(_unresolved(ahead, back, least)).df, "h")
     third = _shared_windows(rest, least)
     suffixes.drop()
     found = spans[0].unionByName(spans[1]).unionByName(third)
-    spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b", "other_id")).alias("spans"))
+    spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b", "other_id", "other_rid", "shift")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column(2)
             flat = listed.flatten()
-            a, b, other = (flat.field(i).fill_null(-1).to_numpy(zero_copy_only=False) for i in range(3))
+            a, b, other, shift = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            who = flat.field(2).to_pylist()
             sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            found = np.array(_merged(np.repeat(np.arange(len(sizes)), sizes), a, b, other), np.int64).reshape(-1, 4)
-            rids, docs = (batch.column(i).take(pa.array(found[:, 0])) for i in (0, 1))
-            start, end = found[:, 1].astype(np.int32), found[:, 2].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rids, docs, pa.array(start), pa.array(end), pa.array(end - start), pa.array(found[:, 3])], ["rid", "doc_id", "start_word", "end_word", "n_words", "other_id"])
-
-    return spans.mapInArrow(run, "rid long, doc_id long, start_word int, end_word int, n_words int, other_id long")
+            found: dict[tuple[int, int, int], set] = {}
+            for r, x, y, i in _merged(np.repeat(np.arange(len(sizes)), sizes), a, b, other, shift):
+                found.setdefault((r, x, y), set()).add(who[i])
+            row, start, end = (pa.array([s[i] for s in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32())))
+            others = [sorted(o, key=lambda i: (i is None, i)) for o in found.values()]  # null last
+            rids, docs = (batch.column(i).take(row) for i in (0, 1))
+            n = pa.array([y - x for _, x, y in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([rids, docs, start, end, n, pa.array([o[0] for o in others], pa.int64()), pa.array(others, pa.list_(pa.int64()))], ["rid", "doc_id", "start_word", "end_word", "n_words", "other_id", "other_ids"])
+
+    return spans.mapInArrow(run, "rid long, doc_id long, start_word int, end_word int, n_words int, other_id long, other_ids array<long>")
