@@ -200,8 +200,8 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Dat
 
 
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets. Where spans of several
-    kinds overlap the first in the text is replaced. ``n_chars``, where there is one, follows the text."""
+    """``docs`` with every span replaced by its kind in brackets. Spans that
+    overlap are united and replaced by the kind of the first. ``n_chars``, where there is one, follows the text."""
     docs = settled(docs)
     found = find(docs, text, key, **how).where(F.size("found") > 0).select(F.col("rid").alias("_rid"), F.col("found").alias("_found"))
     rows = with_row_id(docs, "_row_rid").join(found, F.col("_row_rid") == F.col("_rid"), "left")
@@ -215,7 +215,8 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> D
             F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(kinds, s["kind"] + 1)).alias("out"),
             s["end"].alias("at"),
         )
-        return F.when(s["start"] >= acc["at"], new).otherwise(acc)
+        united = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        return F.when(s["start"] >= acc["at"], new).otherwise(united)
 
     clean = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
     out = rows.withColumn(text, F.when(F.col("_found").isNull(), body).otherwise(clean))
