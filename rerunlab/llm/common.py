@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests).
+#: Used only by a local master whose session names no ``spark.checkpoint.dir`` (tests).
 FALLBACK_DIR = "file:///tmp/checkpoints/rerunlab"
 
 _written: list[tuple[SparkSession, str]] = []
@@ -26,7 +26,11 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the folder that driver and executors share."""
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = FALLBACK_DIR
     path = f"{base.rstrip('/')}/rerunlab-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -94,6 +98,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Number rows by their place in the scan. The files and splits of a scan do
     not change between jobs, so a retried task gives its rows the same ids."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Table, join_hot, settled, with_row_id
+from .common import Table, join_hot, settled, unused, with_row_id
 
 BLOCK_BYTES = 4096
 #: Blocks that one sorted bucket holds on average; a task sorts many buckets.
@@ -125,6 +125,6 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
 def drop_exact_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without all but one of each group of equal texts; all columns stay."""
     docs = settled(docs)
-    kept = exact_groups(docs, text, key).where("kept").select(F.col("rid").alias("_kept_rid"))
-    rows = with_row_id(docs, "_row_rid")
-    return rows.join(kept, F.col("_row_rid") == F.col("_kept_rid"), "left_semi").drop("_row_rid")
+    row = unused(docs, "_row")
+    kept = exact_groups(docs, text, key).where("kept").select(F.col("rid").alias(unused(docs, "_kept")))
+    return with_row_id(docs, row).join(kept, F.col(row) == F.col(kept.columns[0]), "left_semi").drop(row)

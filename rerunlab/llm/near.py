@@ -1,14 +1,26 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Exact, by prefixes: with the shingles of every text in one order, two texts that are
-so similar share one of the first ``n - ceil(0.8 n) + 1`` of the n shingles of each.
-Any order gives the same result; shingles whose slot of a small count sketch is full
-come last, so that a line in many texts is in few prefixes.
+The wide form of the SimHash operator. Sets of n and m shingles are that similar when at
+most a ninth of n + m shingles are in only one of them, a Hamming distance between the
+sets. Majority bits of 64 keep too little of it (at 0.8 about ten bits differ, and blocks
+for a radius that holds nearly all such pairs would have three bits), so the blocks are
+cut from the set itself, as a vector with one bit for each possible shingle:
+
+1. A shingle that one text alone has differs from every other text. A text with over a
+   fifth of such shingles has no near copy and is done. Which shingles occur in one text
+   only is found by ranges of their hashes, each range in a task of bounded size.
+2. Pigeonhole: where at most d shingles differ, of ``d + 1`` blocks of shingles (dealt by
+   their hash) one is equal. Sizes fall into classes, each 1 / 0.8 times the one before,
+   so that similar texts are of one class or neighbouring ones; d is the class's bound.
+   ``spare`` further blocks make up for blocks that are empty in both; texts with more
+   empty blocks than that meet in a bucket of their own.
+3. Texts that share a block are compared as whole sets.
 
 Texts with equal sets are one class and never paired. In a small bucket (texts that share
-a prefix shingle) all pairs are compared, in a large one every text with the first; large
+a block) all pairs are compared, in a large one every text with the first; large
 buckets whose texts these links leave in several components are dealt into chunks and
-compared across components, each two chunks in a task of bounded size.
+compared across components, each two chunks in a task of bounded size, by prefixes of
+their rarest shingles. No step leaves out a pair that is similar.
 
 Words are lower-cased (A-Z) runs of other than ASCII white space. Shingles count as equal
 when their 64-bit hashes are. Defined results: a null text counts as empty; texts
@@ -19,6 +31,7 @@ rows share a component. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, settled, with_row_id
+from .common import Table, join_hot, settled, unused, with_row_id
 from .graph import components
 from .suffix import _MIX, _MUL, Words
 
 SHINGLE, PERCENT = 5, 80
-SLOTS = 1 << 16
+#: Shingles of one message chunk, and of one range of hashes (one task).
+MESSAGE, RANGE = 1 << 20, 1 << 22
+SEVERAL = np.uint16(0xFFFF)
 SMALL, CHUNK = 8, 512
 
 
@@ -56,50 +71,155 @@ def similar(shared, n, m, percent: int):
     return 100 * shared >= percent * (n + m - shared)
 
 
-def prefix(values: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set, rare ones first, of which a similar set has one among its own."""
-    n = len(values)
-    order = np.lexsort((values, counts[(values % np.uint64(SLOTS)).astype(np.int64)]))
-    return values[order[: n + percent * n // -100 + 1]] if n else values
+def most_alone(n, percent: int):
+    """How many of n shingles a similar set may lack."""
+    return n - -(-percent * n // 100)
+
+
+def _messages(shingle: int, bits: int):
+    """Sets of shingles as messages to the ranges of their hashes: part (the first ``bits``
+    bits), chunk, the next 32 bits of each hash and the number of its text in the chunk. A
+    hash that several texts of the chunk have is sent once, as SEVERAL's. One more message
+    (part < 0) has the chunk's rows and how many shingles of each are known to be shared."""
+
+    def message(rids, doc_ids, sets) -> Iterator[tuple]:
+        n = np.array([len(s) for s in sets], np.int64)
+        values, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(values, kind="stable")
+        values, place = values[order], place[order]
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+        runs = np.diff(np.r_[first, len(values)])
+        several = np.repeat(runs > 1, runs)
+        shared = np.bincount(place[several], minlength=len(sets))
+        who = np.where(runs > 1, SEVERAL, place[first].astype(np.uint16)).astype(np.uint16)
+        values = values[first]
+        part = (values >> np.uint64(64 - bits)).astype(np.int64)
+        low = (values >> np.uint64(32 - bits)).astype(np.uint32)
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True][: len(part) + 1]) if len(part) else np.zeros(1, int)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(part[a]), rids[0], low[a:b].tobytes(), who[a:b].tobytes(), None
+        rows = [{"rid": r, "doc_id": d, "n": len(s), "content": xxhash.xxh128_digest(s.tobytes()), "shared": int(k)} for r, d, s, k in zip(rids, doc_ids, sets, shared, strict=True)]
+        yield -1 - rids[0] % (1 << bits), rids[0], None, None, rows
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, rids, docs, sets, size = Words(), [], [], [], 0
 
-def _sketch(rows: DataFrame, shingle: int) -> np.ndarray:
-    """How many shingles of all texts fall into each slot of their hash."""
-    parts, width = 16, SLOTS // 16
+        def emit():
+            columns = zip(*message(rids, docs, sets), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MESSAGE.types, strict=True)], schema=_MESSAGE)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = Words(), np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                total += np.bincount((shingles(t or b"", memo, shingle) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        cut = [total[p * width : (p + 1) * width].tobytes() for p in range(parts)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(cut, pa.binary())], ["part", "counts"])
+            for rid, doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                rids.append(rid)
+                docs.append(doc_id)
+                sets.append(shingles(t.as_py() or b"", memo, shingle))
+                size += len(sets[-1])
+                if size >= MESSAGE or len(sets) >= SEVERAL:
+                    yield emit()
+                    rids, docs, sets, size = [], [], [], 0
+        if sets:
+            yield emit()
+
+    return run
+
+
+_ROW = pa.struct([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("content", pa.binary()), ("shared", pa.int32())])
+_MESSAGE = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("low", pa.binary()), ("who", pa.binary()), ("rows", pa.list_(_ROW))])
+_MESSAGES = "part long, chunk long, low binary, who binary, rows array<struct<rid:long,doc_id:long,n:int,content:binary,shared:int>>"
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for x in group.column("counts").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    found = rows.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    out = np.zeros(SLOTS, np.int64)
-    for r in found.collect():  # 16 rows, whatever the input
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return out
+def _answers(group: pa.Table) -> pa.Table:
+    """For a range of hashes: by chunk, the texts (by number, once for each shingle) whose
+    shingles another chunk has too. The rows of a chunk pass unchanged."""
+    if group.column("part")[0].as_py() < 0:
+        return group
+    low = [np.frombuffer(x, np.uint32) for x in group.column("low").to_pylist()]
+    sizes = np.array([len(x) for x in low])
+    _, inverse, count = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+    who = np.concatenate([np.frombuffer(x, np.uint16) for x in group.column("who").to_pylist()])
+    known = (count[inverse] > 1) & (who != SEVERAL)
+    ends = np.cumsum(sizes)
+    told = [who[a:b][known[a:b]].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+    nothing = pa.nulls(len(told))
+    return pa.table([group.column("part"), group.column("chunk"), nothing.cast(pa.binary()), pa.array(told, pa.binary()), nothing.cast(_MESSAGE.types[4])], schema=_MESSAGE)
 
 
-def _prefixes(rows: DataFrame, sketch, shingle: int, percent: int) -> DataFrame:
-    """rid, doc_id, n (shingles), content (hash of the set), sigs (its prefix)."""
+def _judged(percent: int):
+    """Rows of a chunk with ``lone``: whether too many of the shingles are in no other text."""
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("content", pa.binary()), ("lone", pa.bool_())])
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = [r for x in group.column("rows").to_pylist() if x for r in x]
+        told = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, np.uint16) for x in group.column("who").to_pylist() if x)])
+        shared = np.array([r["shared"] for r in rows]) + np.bincount(told, minlength=len(rows))
+        n = np.array([r["n"] for r in rows])
+        columns = [[r[c] for r in rows] for c in ("rid", "doc_id", "n", "content")] + [n - shared > most_alone(n, percent)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def judged(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rid, doc_id, n (shingles), content (hash of the set), lone (no near copy is possible)."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (size // 6 // RANGE).bit_length())
+    sent = rows.select("rid", "doc_id", "text").mapInArrow(_messages(shingle, bits), _MESSAGES)
+    told = Table(sent.groupBy("part").applyInArrow(_answers, _MESSAGES))
+    out = Table(told.df.groupBy("chunk").applyInArrow(_judged(percent), "rid long, doc_id long, n int, content binary, lone boolean"))
+    told.drop()
+    return out.df
+
+
+def size_classes(n: int, percent: int) -> tuple[int, int, int]:
+    """The class of a set of n shingles, its least size and that of the next class."""
+    at, low, high = 0, 1, 2
+    while n >= high:
+        at, low, high = at + 1, high, max(high + 1, -(-100 * high // percent))
+    return at, low, high
+
+
+def blocks_of(values: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the blocks of a set, for its own class of sizes and the next one."""
+    n, out = len(values), []
+    if not n:
+        return np.zeros(0, np.uint64)
+    at, _, high = size_classes(n, percent)
+    after = max(high + 1, -(-100 * high // percent))
+    for level, end in ((at, high), (at + 1, after)):
+        if level > at and 100 * n // percent < high:  # no similar set is of the next class
+            continue
+        differ = 2 * (100 - percent) * (end - 1) // (100 + percent)
+        spare = 2 + -(-(differ + 1) // 8)
+        count = differ + 1 + spare
+        salted = (values + np.array([level + 1], np.uint64) * _MUL) * _MIX
+        salted ^= salted >> np.uint64(31)
+        salted *= _MUL
+        block = ((salted >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        order = np.argsort(block, kind="stable")
+        block, salted = block[order], salted[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        total = np.add.reduceat(salted ^ (salted >> np.uint64(29)), first)
+        sig = (total ^ (block[first] + np.uint64(1)) * _MUL) * _MIX + np.uint64(level)
+        sig ^= sig >> np.uint64(32)
+        out.append(sig)
+        if count - len(first) > spare:  # it may share empty blocks alone
+            out.append(np.array([level], np.uint64))
+    return np.concatenate(out)
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """rid, n, sig: the blocks of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
         for batch in batches:
-            sets = [shingles(t or b"", memo, shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            content = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-            sigs = pa.array([prefix(s, sketch.value, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int32()), content, sigs], ["rid", "doc_id", "n", "content", "sigs"])
+            items = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            sigs = [blocks_of(x, percent) for x in items]
+            sizes = [len(s) for s in sigs]
+            rid, n = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat([len(x) for x in items], sizes).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(n, pa.int32()), pa.array(flat)], ["rid", "n", "sig"])
 
-    return rows.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n int, content binary, sigs array<long>")
+    return sets.select("rid", "items").mapInArrow(run, "rid long, n int, sig long")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -136,10 +256,22 @@ def _across(percent: int):
         items = group.column("items").to_pylist()
         sets = [np.frombuffer(items[i], np.uint64) for i in first]
         n = np.array([len(s) for s in sets])
-        links = []
-        for i in range(len(rid)):
-            for j in i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & similar(np.minimum(n[i + 1 :], n[i]), n[i + 1 :], n[i], percent)):
-                if label[j] != label[i] and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum(n)
+        holders: dict[int, list[int]] = {}
+        for i, (x, y) in enumerate(zip(ends - n, ends, strict=True)):
+            own = token[x:y]
+            rare = own[np.lexsort((own, count[own]))[: most_alone(n[i], percent) + 1]]  # a similar set has one of these among its own
+            for t in rare[count[rare] > 1].tolist():
+                holders.setdefault(t, []).append(i)
+        links, seen = [], set()
+        for held in holders.values():
+            for pair in combinations(held, 2):
+                i, j = pair
+                if label[i] == label[j] or pair in seen:
+                    continue
+                seen.add(pair)
+                if similar(min(n[i], n[j]), n[i], n[j], percent) and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
                     links.append((rid[i], rid[j]))
                     label[label == label[j]] = label[i]
         pair = np.array(links, np.int64).reshape(-1, 2)
@@ -153,22 +285,17 @@ def _fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def links(postings: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links a, b of rids that connect all similar texts. ``postings``: rid, n, sig, left
-    (shingles from this one on, in the order of prefixes)."""
+def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b of rids that connect all similar texts. ``postings``: rid, n, sig; ``sets``: rid, items."""
     dealt = postings.repartition("sig")
     sizes = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("lead")).where("m > 1")
     met = Table(dealt.join(sizes, "sig"))
     large = met.df.where(F.col("m") > SMALL)
-    few = met.df.where(F.col("m") <= SMALL).select("sig", "rid", "n", "left")
-    other = few.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n", "left")))
-    # of the first shingle two sets share, at most the lesser ``left`` can be shared
-    enough = F.least("left", "left2") * (100 + percent) >= percent * (F.col("n") + F.col("n2"))
-    pairs = few.join(other, "sig").where((F.col("rid") < F.col("rid2")) & _fits(F.col("n"), F.col("n2"), percent) & enough).select(F.col("rid").alias("a"), F.col("rid2").alias("b"))
+    few = met.df.where(F.col("m") <= SMALL).select("sig", "rid", "n")
+    other = few.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n")))
+    pairs = few.join(other, "sig").where((F.col("rid") < F.col("rid2")) & _fits(F.col("n"), F.col("n2"), percent)).select(F.col("rid").alias("a"), F.col("rid2").alias("b"))
     led = large.where(F.col("rid") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
     pairs = Table(pairs.unionByName(led).distinct())
-    wanted = pairs.df.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    sets = Table(_sets(rows.join(wanted, "rid", "left_semi"), shingle)).df
     first = Table(_verified(pairs.df, sets, percent)).df
     pairs.drop()
     placed = Table(large.join(components(first).withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "m", F.coalesce("component", "rid").alias("component")))
@@ -185,25 +312,24 @@ def links(postings: DataFrame, rows: DataFrame, shingle: int, percent: int) -> D
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, component_id (the smallest doc_id of those linked by similarity),
     kept (one row of each component: the one with that id)."""
-    spark = docs.sparkSession
     rows = with_row_id(settled(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "rid")
-    sketch = spark.sparkContext.broadcast(_sketch(rows, shingle))
-    found = Table(_prefixes(rows, sketch, shingle, percent))
+    found = judged(rows, shingle, percent)
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid")))
-    classes = Table(found.df.groupBy("content").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("node"), head.alias("first"))).df
-    one = found.df.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
-    postings = one.select("rid", "n", F.posexplode("sigs").alias("at", "sig")).select("rid", "n", "sig", (F.col("n") - F.col("at")).alias("left"))
-    linked = components(links(postings, rows, shingle, percent))
+    classes = Table(found.where("not lone").groupBy("content").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("node"), head.alias("first"))).df
+    sets = Table(_sets(rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi"), shingle)).df
+    linked = components(links(_postings(sets, percent), sets, percent))
     placed = Table(classes.join(linked, "node", "left").select("content", "m", "first", F.coalesce("component", "node").alias("component"))).df
     count, total = placed.agg(F.count(F.lit(1)), F.sum("m")).first()
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("least"))
     label = join_hot(placed.select("content", "m", "component"), sizes, "component", "k", count)
-    out = join_hot(found.df.select("rid", "doc_id", "content"), label.select("content", "m", "least"), "content", "m", total or 0)
-    return out.select("rid", "doc_id", F.col("least.id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
+    some = join_hot(found.where("not lone").select("rid", "doc_id", "content"), label.select("content", "m", "least"), "content", "m", total or 0)
+    out = some.select("rid", "doc_id", F.col("least.id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
+    return out.unionByName(found.where("lone").select("rid", "doc_id", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one row of each component; all columns stay."""
     docs = settled(docs)
-    kept = similar_groups(docs, text, key, **how).where("kept").select(F.col("rid").alias("_kept_rid"))
-    return with_row_id(docs, "_row_rid").join(kept, F.col("_row_rid") == F.col("_kept_rid"), "left_semi").drop("_row_rid")
+    row = unused(docs, "_row")
+    gone = similar_groups(docs, text, key, **how).where("not kept").select(F.col("rid").alias(unused(docs, "_gone")))
+    return with_row_id(docs, row).join(gone, F.col(row) == F.col(gone.columns[0]), "left_anti").drop(row)

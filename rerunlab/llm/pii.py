@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, settled, with_row_id
+from .common import Table, join_hot, settled, unused, with_row_id
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, fixed.
@@ -203,11 +203,12 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> D
     """``docs`` with every span replaced by its kind in brackets. Spans that
     overlap are united and replaced by the kind of the first. ``n_chars``, where there is one, follows the text."""
     docs = settled(docs)
-    found = find(docs, text, key, **how).where(F.size("found") > 0).select(F.col("rid").alias("_rid"), F.col("found").alias("_found"))
-    rows = with_row_id(docs, "_row_rid").join(found, F.col("_row_rid") == F.col("_rid"), "left")
+    row, rid, spans = (unused(docs, c) for c in ("_row", "_rid", "_found"))
+    found = find(docs, text, key, **how).where(F.size("found") > 0).select(F.col("rid").alias(rid), F.col("found").alias(spans))
+    rows = with_row_id(docs, row).join(found, F.col(row) == F.col(rid), "left")
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     body = F.col(text)
-    ordered = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
@@ -219,7 +220,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> D
         return F.when(s["start"] >= acc["at"], new).otherwise(united)
 
     clean = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    out = rows.withColumn(text, F.when(F.col("_found").isNull(), body).otherwise(clean))
+    out = rows.withColumn(text, F.when(F.col(spans).isNull(), body).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

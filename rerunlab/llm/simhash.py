@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, settled, with_row_id
+from . import near
+from .common import Table, join_hot, settled, unused, with_row_id
 from .graph import components
 
 SEED, BITS = 42, 64
@@ -145,5 +146,13 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one row of each component; all columns stay."""
     docs = settled(docs)
-    kept = near_groups(docs, text, key, **how).where("kept").select(F.col("rid").alias("_kept_rid"))
-    return with_row_id(docs, "_row_rid").join(kept, F.col("_row_rid") == F.col("_kept_rid"), "left_semi").drop("_row_rid")
+    row = unused(docs, "_row")
+    kept = near_groups(docs, text, key, **how).where("kept").select(F.col("rid").alias(unused(docs, "_kept")))
+    return with_row_id(docs, row).join(kept, F.col(row) == F.col(kept.columns[0]), "left_semi").drop(row)
+
+
+def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = near.SHINGLE, percent: int = near.PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a Jaccard similarity of
+    ``percent`` or more of their shingles; all columns stay. 64 majority bits cannot hold
+    such a radius, so the pigeonhole blocks are cut from the shingle sets (see ``near``)."""
+    return near.drop_near_copies(docs, text, key, shingle=shingle, percent=percent)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import collections
 import zlib
 
-import numpy as np
 import corpus_pipeline
-from rerunlab.llm import pii, simhash, toxicity, vocab
+import numpy as np
+from rerunlab.llm import pii, toxicity, vocab
+from test_near import brute
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,19 +40,8 @@ def test_stages(spark):
     assert steps[2].columns == docs.columns and rows(steps[2]) == want
 
     ids = sorted(want)
-    fps = np.array([simhash.fingerprint((want[i][1] or "").encode()) for i in ids], np.uint64)
-    root = list(range(len(ids)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3):
-            a, b = find(i), find(int(j))
-            root[max(a, b)] = min(a, b)
-    want = {ids[i]: want[ids[i]] for i in range(len(ids)) if find(i) == i}
+    least = brute([want[i][1] for i in ids])
+    want = {ids[i]: want[ids[i]] for i in range(len(ids)) if least[i] == i}
     assert steps[3].columns == docs.columns and rows(steps[3]) == want
 
     got = rows(steps[4])
