@@ -18,9 +18,10 @@ cut from the set itself, as a vector with one bit for each possible shingle:
 
 Texts with equal sets are one class and never paired. In a small bucket (texts that share
 a block) all pairs are compared, in a large one every text with the first; large
-buckets whose texts these links leave in several components are dealt into chunks and
-compared across components, each two chunks in a task of bounded size, by prefixes of
-their rarest shingles. No step leaves out a pair that is similar.
+buckets whose texts these links leave in several components are compared across
+components: the texts of buckets that hang together in one task where they are few, else
+bucket by bucket, dealt into chunks, each two chunks in a task of bounded size. A task
+compares by prefixes of the rarest shingles. No step leaves out a pair that is similar.
 
 Words are lower-cased (A-Z) runs of other than ASCII white space. Shingles count as equal
 when their 64-bit hashes are. Defined results: a null text counts as empty; texts
@@ -48,6 +49,8 @@ SHINGLE, PERCENT = 5, 80
 MESSAGE, RANGE = 1 << 20, 1 << 22
 SEVERAL = np.uint16(0xFFFF)
 SMALL, CHUNK = 8, 512
+#: Shingles of texts that one task compares with each other.
+CLUSTER = 1 << 22
 
 
 def shingles(text: bytes, memo: Words, shingle: int = SHINGLE) -> np.ndarray:
@@ -298,15 +301,31 @@ def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = Table(pairs.unionByName(led).distinct())
     first = Table(_verified(pairs.df, sets, percent)).df
     pairs.drop()
-    placed = Table(large.join(components(first).withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "m", F.coalesce("component", "rid").alias("component")))
+    placed = Table(large.join(components(first).withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "n", "m", F.coalesce("component", "rid").alias("component")))
     met.drop()
-    split = placed.df.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("m").alias("k")).where("x < y").select("sig", "k")
-    rest = join_hot(placed.df, split, "sig", "k", placed.df.count())
+    split = placed.df.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("m").alias("k"), F.min("rid").alias("hub")).where("x < y").select("sig", "k", "hub")
+    rest = Table(join_hot(placed.df, split, "sig", "k", placed.df.count()))
+    placed.drop()
+    return first.unionByName(_apart(rest.df, sets, percent))
+
+
+def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within the buckets of ``rest`` (sig, rid, n, m, component, hub).
+    Texts that are together in some bucket form clusters; a cluster of up to CLUSTER
+    shingles is compared as a whole, each set being sent once, the buckets of larger
+    ones each for itself."""
+    joined = components(rest.select(F.col("rid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
+    texts = rest.select("rid", "n", "component").distinct().join(joined, "rid", "left").select("rid", "n", "component", F.coalesce("cluster", "rid").alias("cluster"))
+    texts = Table(texts).df
+    large = texts.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") > CLUSTER).select("cluster")
+    whole = texts.join(large, "cluster", "left_anti").select("rid", "component", "cluster")
+    within = whole.join(sets, "rid").groupBy("cluster").applyInArrow(_across(percent), "a long, b long")
+    parts = rest.join(texts.join(large, "cluster", "left_semi").select("rid"), "rid", "left_semi")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = rest.select("sig", "rid", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("rid"), chunks).cast("int").alias("chunk"))
+    dealt = parts.select("sig", "rid", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("rid"), chunks).cast("int").alias("chunk"))
     paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "rid", "component", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
     across = paired.join(sets, "rid").groupBy("sig", "i", "j").applyInArrow(_across(percent), "a long, b long")
-    return first.unionByName(across)
+    return within.unionByName(across)
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -54,8 +54,9 @@ def planted():
     return texts
 
 
-@pytest.mark.parametrize("small, chunk", [(8, 512), (200, 512), (3, 7)])
-def test_planted_edits(spark, monkeypatch, small, chunk):
+@pytest.mark.parametrize("small, chunk, cluster", [(8, 512, 1 << 22), (200, 512, 1 << 22), (3, 7, 1 << 22), (3, 7, 0), (3, 7, 2000)])
+def test_planted_edits(spark, monkeypatch, small, chunk, cluster):
+    monkeypatch.setattr(near, "CLUSTER", cluster)
     monkeypatch.setattr(near, "SMALL", small)
     monkeypatch.setattr(near, "CHUNK", chunk)
     texts = planted()
