@@ -5,6 +5,7 @@ holding a whole group."""
 from __future__ import annotations
 
 import atexit
+import gc
 import importlib.util
 import os
 import re
@@ -59,6 +60,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished steps: their plans go, and with them, by Spark's
+    cleaner, the shuffle files that nothing can ask for any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clean_up() -> None:
     """Delete every folder this process wrote; runs when the driver ends."""
     while _written:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot
+from .common import Table, join_hot, release
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -42,4 +42,5 @@ def components(links: DataFrame) -> DataFrame:
         table.drop()
         star.drop()
         table = settled
+    release(links.sparkSession)
     return table.df.select(F.col("a").alias("node"), F.col("b").alias("component"))

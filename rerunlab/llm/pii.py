@@ -1,23 +1,29 @@
 """Personal identifiers: fixed patterns, and contextual ones learned by bootstrapping.
 
-Entities that the fixed patterns find are seeds. A seed and every other word that
+Entities that the fixed patterns find are seeds. A seed and everything else that
 could be an identifier by its look (digits and separators, or an at sign) stand in
 lexical contexts: the words beside them. Contexts and instances form a graph, scored
-in rounds by Spark: a context is as reliable for a kind as the share of its distinct
-instances that are of the kind, an instance as good as the contexts it stands in.
-Instances that look like the kind in contexts of at least SUPPORT distinct seeds and a
-reliability of CONFIDENCE join the spans. Copies of one entity in one context count
+in rounds by Spark: a context is as reliable for a kind as the mean goodness of its
+distinct instances, an instance as good as the contexts it stands in. A context is
+trusted with SUPPORT distinct seeds and a reliability of CONFIDENCE. Instances of a
+trusted context whose contexts are on the whole as reliable are seeds from the next
+round on, so that contexts they alone stand in can be trusted in turn. What stands in a
+context trusted at the end joins the spans. Copies of one entity in one context count
 once, so copied documents lend no support.
 
+A place is an instance of every kind whose look it has; where learned spans overlap,
+that of the more reliable context stays (ties: the earlier, then the kind listed first).
+
 Defined results: a null text counts as empty. Base spans stay as found; a learned one
 never overlaps them. Repeated rows are searched each for itself. An empty table gives
-an empty result. The counts are those of the base spans.
+an empty result. The counts are those of the base spans. Time is linear in a text's length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,14 +42,16 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 SUPPORT, CONFIDENCE, ROUNDS = 8, 0.8, 3
 
 DIGIT = re.compile(r"[0-9]")
-#: What may be an identifier by its look, by kind.
+#: IP for searching: the same spans, without starting anew inside a run of digits.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: What may be an identifier by its look, by kind, not inside a longer word; e-mail
+#: addresses (kind 0) are looked for around at signs.
 LOOKS = (
-    re.compile(r"[^\s@]+@[^\s@]+"),
-    re.compile(r"[0-9]{1,4}(?:[.:][0-9]{1,4}){3}"),
-    re.compile(r"[0-9](?:[ -]?[0-9]){11,18}"),
-    re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}"),
+    (1, re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?:[.:][0-9]{1,4}){3}(?![0-9A-Za-z])")),
+    (2, re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){11,18}(?![0-9A-Za-z])")),
+    (3, re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])")),
 )
-SPACE = re.compile(r"\s+")
+WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -75,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, a, b) for a, b in _emails(text)]
     if not DIGIT.search(text):
         return out
-    for m in IP.finditer(text):
+    for m in IP_RUNS.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
@@ -89,37 +97,88 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _beside(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts of a span: words beside it, lower-cased, digits as 0."""
-    left = text[max(0, start - 80) : start].lower().split()
-    right = text[end : end + 80].lower().split()
-    left, right = [re.sub("[0-9]", "0", w) for w in left[-2:]], [re.sub("[0-9]", "0", w) for w in right[:1]]
-    found = []
-    if left:
-        found.append(f"{left[-1]} _")
-    if len(left) > 1:
-        found.append(f"{left[-2]} {left[-1]} _")
-    if right:
-        found.append(f"_ {right[0]}")
-    if left and right:
-        found.append(f"{left[-1]} _ {right[0]}")
-    return found
+def _at_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of other than white space and at signs, on both sides of one."""
+    at = text.find("@")
+    while at >= 0:
+        start, end = at, at + 1
+        while start and text[start - 1] != "@" and not text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end] != "@" and not text[end].isspace():
+            end += 1
+        if start < at and end > at + 1:
+            yield start, end
+        at = text.find("@", at + 1)
+
+
+class Beside:
+    """The lexical contexts of spans: the two words before and the one after, lower-cased,
+    digits as 0. Words end at white space and at the edges of spans."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]):
+        self.text, self.pieces, self.words = text, [], {}
+        edges = sorted({0, len(text), *(x for s in spans for x in s)})
+        for a, b in zip(edges, edges[1:], strict=False):
+            self.pieces += [m.span() for m in WORD.finditer(text, a, b)]
+        self.starts = [a for a, _ in self.pieces]
+
+    def word(self, i: int) -> str | None:
+        if not 0 <= i < len(self.pieces):
+            return None
+        if i not in self.words:
+            a, b = self.pieces[i]
+            self.words[i] = DIGIT.sub("0", self.text[a:b].lower())
+        return self.words[i]
+
+    def contexts(self, start: int, end: int) -> list[str]:
+        at = bisect_left(self.starts, start)
+        left, before, right = self.word(at - 1), self.word(at - 2), self.word(bisect_left(self.starts, end))
+        found = []
+        if left:
+            found.append(f"{left} _")
+        if before:
+            found.append(f"{before} {left} _")
+        if right:
+            found.append(f"_ {right}")
+        if left and right:
+            found.append(f"{left} _ {right}")
+        return found
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, bool, int, int, str, list[str]]]:
-    """(kind, seed, start, end, value, contexts) of the seeds and of what else looks
-    like an identifier, outside the base spans and each other."""
-    out = [(k, True, a, b, text[a:b], _beside(text, a, b)) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
-    for kind, look in enumerate(LOOKS):
-        if kind == 0 and "@" not in text or kind and not DIGIT.search(text):
-            continue
-        for m in look.finditer(text):
-            a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                out.append((kind, False, a, b, m[0], _beside(text, a, b)))
-                taken.append((a, b))
-    return out
+    """(kind, seed, start, end, value, contexts) of the seeds and of what else looks like
+    an identifier of a kind, outside the base spans."""
+    spots = [(k, True, a, b) for k, a, b in base]
+    taken: list[list[int]] = []  # the base spans, united
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b) - 1  # the last that starts before the end
+        return i < 0 or taken[i][1] <= a
+
+    if "@" in text:
+        spots += [(0, False, a, b) for a, b in _at_signs(text) if free(a, b)]
+    if DIGIT.search(text):
+        spots += [(kind, False, *m.span()) for kind, look in LOOKS for m in look.finditer(text) if free(*m.span())]
+    if not spots:
+        return []
+    beside = Beside(text, [(a, b) for _, _, a, b in spots])
+    return [(k, seed, a, b, text[a:b], beside.contexts(a, b)) for k, seed, a, b in spots]
+
+
+def apart(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the ``spans`` (reliability, start, kind, end) that overlap no better one."""
+    kept: list[tuple[int, int, int]] = []
+    for _, a, kind, b in sorted(spans, key=lambda s: (-s[0], *s[1:])):
+        i = bisect_left(kept, (a, b, kind))
+        if (i == len(kept) or kept[i][0] >= b) and (i == 0 or kept[i - 1][1] <= a):
+            kept.insert(i, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in kept]
 
 
 ROW = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, seen array<struct<kind:int,seed:boolean,start:int,end:int,value:string,contexts:array<string>>>"
@@ -160,24 +219,43 @@ def _weighted(edges: DataFrame, scores: DataFrame, key: str, rows: int) -> DataF
 
 
 def reliable_contexts(seen: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """context (kind and words) of the contexts that may discover identifiers.
+    """context (kind and words) and reliable of the contexts that may discover identifiers.
     ``seen``: kind, seed, value, contexts."""
     spots = seen.select(F.explode("contexts").alias("words"), "kind", "value", "seed")
     edges = Table(spots.groupBy(F.struct("kind", "words").alias("context"), F.struct("kind", "value").alias("instance")).agg(F.max("seed").alias("seed"))).df
     rows = edges.count()
-    goodness = edges.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn("good", F.col("seed").cast("double"))
+    first = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
+    known = first.select("instance", F.col("seed").cast("double").alias("good"), F.col("seed").alias("sure"))
+    edges = edges.drop("seed")
     contexts = None
     for _ in range(rounds):
-        scored = _weighted(edges.drop("seed"), goodness.select("instance", "good", "seed"), "instance", rows)
-        seeds = F.sum(F.col("seed").cast("long"))
-        contexts = scored.groupBy("context").agg(F.avg("good").alias("reliable"), seeds.alias("seeds"), F.count(F.lit(1)).alias("size"))
-        contexts = Table(contexts).df
-        voted = _weighted(edges.select("context", "instance"), contexts.where(F.col("seeds") >= support).select("context", "reliable", "seeds"), "context", rows)
-        votes = voted.groupBy("instance").agg((F.sum(F.col("reliable") * F.col("seeds")) / F.sum("seeds")).alias("vote"))
-        known = goodness.select("instance", "seed")
-        goodness = known.join(votes, "instance", "left").select("instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("vote", F.lit(0.0))).alias("good"))
-        goodness = Table(goodness).df
-    return contexts.where((F.col("seeds") >= support) & (F.col("reliable") >= confidence)).select("context")
+        scored = _weighted(edges, known, "instance", rows)
+        contexts = Table(scored.groupBy("context").agg(F.avg("good").alias("reliable"), F.sum(F.col("sure").cast("long")).alias("seeds"))).df
+        trusted = (F.col("seeds") >= support) & (F.col("reliable") >= confidence)
+        voted = _weighted(edges, contexts.where(F.col("seeds") >= support).withColumn("trusted", trusted), "context", rows)
+        votes = voted.groupBy("instance").agg((F.sum(F.col("reliable") * F.col("seeds")) / F.sum("seeds")).alias("vote"), F.max("trusted").alias("met"))
+        joined = first.join(votes, "instance", "left")
+        good = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("vote", F.lit(0.0)))
+        found = F.col("seed") | (F.coalesce("met", F.lit(False)) & (good >= confidence))
+        known = Table(joined.select("instance", good.alias("good"), found.alias("sure"))).df
+    return contexts.where((F.col("seeds") >= support) & (F.col("reliable") >= confidence)).select("context", "reliable")
+
+
+def learned_spans(spots: DataFrame, contexts: DataFrame) -> DataFrame:
+    """rid, learned (kind, start, end): the ``spots`` (rid, kind, start, end, context) that
+    stand in ``contexts`` (context, reliable), none of them overlapping."""
+    sizes = spots.groupBy("context").agg(F.count(F.lit(1)).alias("_n"))
+    met = join_hot(spots, sizes.join(contexts, "context"), "context", "_n", spots.count())
+    best = met.groupBy("rid", "kind", "start", "end").agg(F.max("reliable").alias("reliable"))
+    listed = best.groupBy("rid").agg(F.collect_list(F.struct("reliable", "start", "kind", "end")).alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [apart([tuple(x.values()) for x in s]) for s in batch.column(1).to_pylist()]
+            spans = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], ["rid", "learned"])
+
+    return listed.mapInArrow(run, "rid long, learned array<struct<kind:int,start:int,end:int>>")
 
 
 def _text_of(spans: Column) -> Column:
@@ -192,8 +270,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> Dat
     seen = rows.select("rid", F.explode("seen").alias("s")).select("rid", "s.*")
     chosen = reliable_contexts(seen.select("kind", "seed", "value", "contexts"), **how)
     spots = seen.where(~F.col("seed")).select("rid", "kind", "start", "end", F.explode("contexts").alias("words")).withColumn("context", F.struct("kind", "words"))
-    kept = spots.join(chosen, "context", "left_semi").select("rid", F.struct("kind", "start", "end").alias("s")).distinct()
-    learned = kept.groupBy("rid").agg(F.collect_list("s").alias("learned"))
+    learned = learned_spans(spots.drop("words"), chosen)
     out = rows.drop("seen").join(learned, "rid", "left")
     out = out.withColumn("found", F.when(F.col("learned").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "learned"))))
     return out.select("rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found", _text_of(F.col("found")).alias("spans"))

@@ -5,7 +5,8 @@ The library's own encoder reads 1.6 million characters a CPU second, slower than
 limits allow, so merging is done by tiktoken over a rank table compiled from the same
 file. Texts on which the two could differ (a special token's string, a character
 that this Python's Unicode tables do not know, a word-final capital sigma, the
-terminator character) are encoded by the library itself.
+terminator character, a mark or composed character that the library's normaliser treats
+in another way than Python's) are encoded by the library itself.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Closes each word for the merges that end words; never inside a word.
@@ -55,6 +56,37 @@ def unassigned() -> re.Pattern:
     return re.compile(f"[{character_class(lambda c: unicodedata.category(c) == 'Cn')}]")
 
 
+@lru_cache
+def unsure() -> re.Pattern:
+    """Unassigned characters and those that the library normalises in another way."""
+    return re.compile(f"[{unassigned().pattern[1:-1]}{re.escape(unlike())}]")
+
+
+@lru_cache
+def unlike() -> str:
+    """The characters that the library's NFC treats in another way than Python's: marks that
+    it orders differently beside four old marks or the first mark that it does not of some
+    class, and characters that it composes or decomposes differently."""
+    library = normalizers.NFC().normalize_str
+
+    def differ(text: str) -> bool:
+        return library(text) != unicodedata.normalize("NFC", text)
+
+    every = [chr(c) for c in range(0x100, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    marks, first = [c for c in every if unicodedata.combining(c)], {}
+
+    def odd(mark: str, beside) -> bool:
+        return any(differ(f"a{mark}{m}") or differ(f"a{m}{mark}") for m in beside)
+
+    found = [c for c in marks if odd(c, "\u0301\u0323\u0334\u0345")]
+    rest = [c for c in marks if c not in set(found)]
+    for c in rest:
+        first.setdefault(unicodedata.combining(c), c)
+    found += [c for c in rest if odd(c, first.values())]
+    found += [c for c in every if unicodedata.decomposition(c) and (differ(c) or differ(unicodedata.normalize("NFD", c)))]
+    return "".join(found)
+
+
 def latin(text: str) -> bool:
     """Whether all characters are Latin-1, where every Unicode version agrees."""
     try:
@@ -148,7 +180,7 @@ class WordEncoder(Encoder):
         return self.any.findall(norm)
 
     def ids(self, text: str) -> np.ndarray:
-        if END in text or "Σ" in text or not self.plain(text):
+        if END in text or "Σ" in text or not self.plain(text) or not latin(text) and unsure().search(text):
             return self.slow(text)
         found = self.words(text)
         if not found:
