@@ -21,8 +21,9 @@ neither has; the runs in doubt are then compared as wholes over all suffixes of
 beginning, by 128-bit hashes, so that no match is lost.
 
 Sorted rows are dealt by ranges that may split one beginning, or one whole context,
-over tasks; the rows at the edges of the ranges, a few for each task, are compared
-once more with each other. No group is gathered.
+over tasks. Each range names its outermost rows of two documents at either end, four rows;
+from these every range learns its neighbours, and the rows of its first and last document
+are compared with them where they lie. No group is gathered.
 
 Words are runs of other than ASCII white space, as they stand. Defined results: a null
 text counts as empty. Texts under ``least`` words have no passage. What repeats only
@@ -32,10 +33,12 @@ within one document is none. Repeated rows are different documents. An empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +69,26 @@ def _sliding(a: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial hash of each ``width`` neighbours, by doubling."""
+    power = [pow(int(_MUL), k, 1 << 64) for k in range(width + 1)]
+    out, done, part, size = None, 0, hashes, 1  # part: hashes of ``size`` neighbours
+    while True:
+        if width & size:  # ``done`` neighbours, then ``size`` more
+            out = part if out is None else out[: len(hashes) - done - size + 1] * np.array(power[size], np.uint64) + part[done:]
+            done += size
+        if 2 * size > width:
+            return out
+        part = part[:-size] * np.array(power[size], np.uint64) + part[size:]
+        size *= 2
+
+
 def minimisers(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the kept suffixes and the hashes of their first ``gram`` words."""
     n = len(hashes) - gram + 1
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = np.zeros(n, np.uint64)
-    for j in range(gram):
-        value = value * _MUL + hashes[j : j + n]
+    value = _rolled(hashes, gram)
     value = (value ^ (value >> np.uint64(29))) * _MIX
     value ^= value >> np.uint64(32)
     least = _sliding(value, window, np.minimum)
@@ -143,91 +158,156 @@ def common_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, low) + bool(whole)
 
 
-FOUND = "h long, rid long, doc_id long, pos int, ahead binary, back binary, left_words int, right_words int, other_id long, other_rid long, shift int, state string"
-MATCH, OPEN, EDGE = "match", "open", "edge"
+_ROW = "h long, rid long, doc_id long, pos int, ahead binary, back binary"
+FOUND = f"{_ROW}, left_words int, right_words int, other_id long, other_rid long, shift int, state string, part int"
+MATCH, OPEN = "match", "open"
+#: Rows of a range's first and last document, to be compared with the ranges before and after.
+BEFORE, AFTER, BOTH = "before", "after", "both"
+#: A range's first row and first one of a second document; its last row, and the last of another.
+FIRST, SECOND, LAST, OTHER = "first", "second", "last", "other"
+_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+class Comparison:
+    """Best matches of rows and what comes out of comparing them."""
+
+    def __init__(self, least: int, forwards: bool, part: int):
+        self.least, self.forwards, self.part, self.out = least, forwards, part, []
 
+    def match(self, row: list, b: tuple) -> None:
+        """``row`` (its values, best match so far) takes what it shares with the values ``b``."""
+        a = row[0]
+        if a[0] != b[0]:
+            return
+        right, left = common_words(a[4], b[4]), common_words(a[5], b[5])
+        row[1] = max(row[1], (right, left) if self.forwards else (left, right))
+        if left + right >= self.least:
+            self.out.append((*a[:4], None, None, left, right, b[2], b[1], b[3] - a[3], MATCH, self.part))
 
-def _neighbours(least: int, forwards: bool, edges: bool):
-    """Compare each sorted row with the nearest rows of another document, both ways.
-    Passes on matches; rows whose nearest one shares less than all they have (open);
-    with ``edges`` also, whole, the first and last rows of the range up to the second
-    document from its end."""
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    def release(self, row: list) -> None:
+        """Passes the row on as open if its best match is less than all it has."""
+        a, best = row[:2]
+        if best[0] < 0:
+            return
+        right, left = best if self.forwards else best[::-1]
+        if right < a[4].count(b" ") + bool(a[4]) or left < a[5].count(b" ") + bool(a[5]):
+            self.out.append((*a[:4], None, None, left, right, None, None, None, OPEN, self.part))
+
+    def keep(self, row: list, state: str) -> None:
+        """Passes the whole row on, with its best match so far."""
+        right, left = row[1] if self.forwards else row[1][::-1]
+        self.out.append((*row[0], left, right, None, None, None, state, self.part))
+
+
+def _neighbours(least: int, forwards: bool):
+    """Compare each sorted row of a range with the nearest rows of another document, both
+    ways. Passes on matches, open rows, the rows of the first and last document, and the
+    range's outermost rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        last = before = None  # the last row, and the last one of another document than it
+        c = Comparison(least, forwards, TaskContext.get().partitionId())
+        first = last = other = None  # the first row, the last, and the last of another document than that
         held: list[list] = []  # rows of the last document, waiting for one of another
-        head: list[tuple] = []
-        heads_done = not edges
-
-        def match(row, other):
-            """``row`` (its values, best match so far) takes what it shares with ``other``."""
-            a, b = row[0], other[0]
-            if a[0] != b[0]:
-                return
-            right, left = common_words(a[4], b[4]), common_words(a[5], b[5])
-            row[1] = max(row[1], (right, left) if forwards else (left, right))
-            if left + right >= least:
-                out.append((*a[:4], None, None, left, right, b[2], b[1], b[3] - a[3], MATCH))
-
-        def release(row):
-            a, best = row
-            if best[0] < 0:
-                return
-            right, left = best if forwards else best[::-1]
-            if right < a[4].count(b" ") + bool(a[4]) or left < a[5].count(b" ") + bool(a[5]):
-                out.append((*a[:4], None, None, left, right, None, None, None, OPEN))
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
+        second = False
+
+        def settle(rows):
+            for row in rows:
+                c.keep(row, BEFORE) if row[2] else c.release(row)
 
         for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = [values, (-1, -1)]
-                if last is not None and last[0][1] != values[1]:
-                    before = last
-                    for waiting in held:
-                        match(waiting, row)
-                        release(waiting)
+            for values in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if first is None:
+                    first = values
+                    c.keep([values, (-1, -1)], FIRST)
+                elif last[1] != values[1]:
+                    other = last
+                    if not second:
+                        second = True
+                        c.keep([values, (-1, -1)], SECOND)
+                    for row in held:
+                        c.match(row, values)
+                    settle(held)
                     held = []
-                if before is not None:
-                    match(row, before)
-                if held and held[-1][0][0] != values[0]:  # nothing of their beginning follows
-                    for waiting in held:
-                        release(waiting)
+                elif held and held[-1][0][0] != values[0]:  # nothing of their beginning follows
+                    settle(held)
                     held = []
+                row = [values, (-1, -1), not second]  # the last: whether of the first document
+                if other is not None:
+                    c.match(row, other)
                 held.append(row)
-                last = row
-                if not heads_done:
-                    head.append(values)
-                    heads_done = head[0][1] != values[1]
-            if len(out) >= 5000:
-                yield emit()
-                out.clear()
-        for waiting in held:
-            release(waiting)
-        if edges:
-            tail = [r[0] for r in held] + ([before[0]] if before is not None else [])
-            keep = {(v[0], v[1], v[3]): v for v in [*head, *tail]}
-            out.extend((*v, None, None, None, None, None, EDGE) for v in keep.values())
-        if out:
-            yield emit()
+                last = values
+            if len(c.out) >= 5000:
+                yield _batch(c.out)
+                c.out.clear()
+        for row in held:
+            c.keep(row, BOTH if row[2] else AFTER)
+        if last is not None:
+            c.keep([last, (-1, -1)], LAST)
+        if other is not None:
+            c.keep([other, (-1, -1)], OTHER)
+        if c.out:
+            yield _batch(c.out)
+
+    return run
+
+
+_BESIDE = pa.schema([("part", pa.int32()), ("before", pa.list_(pa.struct(list(zip(_NAMES[:6], _TYPES[:6], strict=True))))), ("after", pa.list_(pa.struct(list(zip(_NAMES[:6], _TYPES[:6], strict=True)))))])
+
+
+def _beside(group: pa.Table) -> pa.Table:
+    """For each range the nearest row before it of another document than its first one, and
+    the nearest after it of another than its last one, from four rows of each range."""
+    ends: dict[int, dict] = {}
+    for r in group.select([*_NAMES[:6], "state", "part"]).to_pylist():
+        ends.setdefault(r["part"], {})[r["state"]] = {n: r[n] for n in _NAMES[:6]}
+    order = sorted(ends)
+    found: dict[int, list] = {p: [[], []] for p in order}
+    for side, parts, near, far, out in ((0, order, FIRST, SECOND, (LAST, OTHER)), (1, order[::-1], LAST, OTHER, (FIRST, SECOND))):
+        x = y = None  # the nearest row so far, and the nearest of another document than that
+        for p in parts:
+            e = ends[p]
+            at = x if x is None or x["rid"] != e[near]["rid"] else y
+            found[p][side] = [at] if at is not None else []
+            one, two = e[out[0]], e.get(out[1])
+            if two is None:
+                two = x if x is not None and x["rid"] != one["rid"] else y
+            x, y = one, two
+    return pa.table({"part": pa.array(order, pa.int32()), "before": pa.array([found[p][0] for p in order], _BESIDE.types[1]), "after": pa.array([found[p][1] for p in order], _BESIDE.types[2])}, schema=_BESIDE)
+
+
+def _settled_edges(least: int, forwards: bool):
+    """Compare the rows of a range's first and last document with the ranges beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = Comparison(least, forwards, 0)
+            for *values, left, right, state, before, after in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                row = [tuple(values), (right, left) if forwards else (left, right)]
+                for some in (before if state != AFTER else None, after if state != BEFORE else None):
+                    for other in some or []:
+                        c.match(row, tuple(other[n] for n in _NAMES[:6]))
+                c.release(row)
+            if c.out:
+                yield _batch(c.out)
 
     return run
 
 
 def _matches(suffixes: DataFrame, order: list[str], least: int) -> DataFrame:
     """h, rid, doc_id, pos, left_words, right_words, other_id, other_rid, shift, state from one sorted order."""
-    rows, forwards = suffixes.select("h", "rid", "doc_id", "pos", "ahead", "back"), order[0] == "ahead"
+    rows, forwards = suffixes.select(*_NAMES[:6]), order[0] == "ahead"
     keys = ["h", *order, "rid", "pos"]
-    first = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, True), FOUND))
-    edge = first.df.where(F.col("state") == EDGE).select("h", "rid", "doc_id", "pos", "ahead", "back")
-    again = edge.repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards, False), FOUND)
-    both = Table(first.df.where(F.col("state") != EDGE).unionByName(again).drop("ahead", "back")).df
-    first.drop()
-    return both
+    found = Table(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(least, forwards), FOUND)).df
+    ends = found.where(F.col("state").isin(FIRST, SECOND, LAST, OTHER)).withColumn("one", F.lit(True)).groupBy("one")  # four rows a range
+    beside = ends.applyInArrow(_beside, f"part int, before array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>, after array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>")
+    edge = found.where(F.col("state").isin(BEFORE, AFTER, BOTH)).join(beside, "part")
+    again = edge.select(*_NAMES[:6], "left_words", "right_words", "state", "before", "after").mapInArrow(_settled_edges(least, forwards), FOUND)
+    return found.where(F.col("state").isin(MATCH, OPEN)).unionByName(Table(again).df).drop("ahead", "back", "part")
 
 
 def _unresolved(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
@@ -253,10 +333,14 @@ def windows_of(suffixes: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for rid, doc_id, pos, ahead, back, backs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                before, after = back.split(b" ") if back else [], ahead.split(b" ")
+                before = back.split(b" ")[::-1] if back else []
+                words = before + ahead.split(b" ")
+                joined = b" ".join(words)
+                starts = [0, *accumulate(len(w) + 1 for w in words)]
                 for j in backs:
-                    if j <= len(before) and least - j <= len(after):
-                        content = xxhash.xxh128_digest(b" ".join(before[:j][::-1] + after[: least - j]))
+                    at = len(before) - j
+                    if at >= 0 and at + least <= len(words) and j <= least:
+                        content = xxhash.xxh128_digest(joined[starts[at] : starts[at + least] - 1])
                         for column, x in zip(out, (rid, doc_id, pos - j, content), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names)
@@ -273,22 +357,31 @@ def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
     return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.col("o.doc_id").alias("other_id"), F.col("o.rid").alias("other_rid"), (F.col("o.start") - F.col("start")).alias("shift"))
 
 
-def _merged(rows: np.ndarray, a: np.ndarray, b: np.ndarray, other: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Spans (row, a, b, place in the input) of each row; those that touch are joined where
-    they lie equally shifted in one other row, which so has the joined span too."""
-    out: list[tuple[int, int, int, int]] = []
-    order = np.lexsort((b, a, shift, other, rows))
-    key, start, end, at = None, -1, -1, -1
-    for i, *k, x, y in zip(order.tolist(), *(c[order].tolist() for c in (rows, other, shift, a, b)), strict=True):
-        if k == key and x <= end:
-            end = max(end, y)
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans rid, doc_id, a, b, other_id, other_rid, shift in the order of rid, other_rid,
+    shift, a: those that touch are joined where they lie equally shifted in one other row,
+    which so has the joined span too."""
+    names = ["rid", "doc_id", "a", "b", "other_id", "other_rid", "shift"]
+    carried = None  # the last span, which the next batch may go on
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if carried is not None:
+            table = pa.concat_tables([carried, table])
+        if not table.num_rows:
             continue
-        if key is not None:
-            out.append((key[0], start, end, at))
-        key, start, end, at = k, x, y, i
-    if key is not None:
-        out.append((key[0], start, end, at))
-    return out
+        rid, a, b, other, shift = (table.column(c).to_numpy() for c in ("rid", "a", "b", "other_rid", "shift"))
+        new = np.r_[True, (rid[1:] != rid[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1])]
+        group = np.cumsum(new)
+        wide = np.int64(1) << 32
+        reach = np.maximum.accumulate(group * wide + b)  # the furthest end so far of each key
+        new[1:] |= group[1:] * wide + a[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        end = np.maximum.reduceat(b, first)
+        joined = table.take(first).set_column(names.index("b"), "b", pa.array(end, pa.int32()))
+        carried = joined.slice(joined.num_rows - 1)
+        yield from joined.slice(0, joined.num_rows - 1).combine_chunks().to_batches()
+    if carried is not None:
+        yield from carried.combine_chunks().to_batches()
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -312,22 +405,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     third = _shared_windows(rest, least)
     suffixes.drop()
     found = spans[0].unionByName(spans[1]).unionByName(third)
-    spans = found.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b", "other_id", "other_rid", "shift")).alias("spans"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            listed = batch.column(2)
-            flat = listed.flatten()
-            a, b, other, shift = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            who = flat.field(2).to_pylist()
-            sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            found: dict[tuple[int, int, int], set] = {}
-            for r, x, y, i in _merged(np.repeat(np.arange(len(sizes)), sizes), a, b, other, shift):
-                found.setdefault((r, x, y), set()).add(who[i])
-            row, start, end = (pa.array([s[i] for s in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32())))
-            others = [sorted(o, key=lambda i: (i is None, i)) for o in found.values()]  # null last
-            rids, docs = (batch.column(i).take(row) for i in (0, 1))
-            n = pa.array([y - x for _, x, y in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([rids, docs, start, end, n, pa.array([o[0] for o in others], pa.int64()), pa.array(others, pa.list_(pa.int64()))], ["rid", "doc_id", "start_word", "end_word", "n_words", "other_id", "other_ids"])
-
-    return spans.mapInArrow(run, "rid long, doc_id long, start_word int, end_word int, n_words int, other_id long, other_ids array<long>")
+    keys = ["rid", "other_rid", "shift", "a"]
+    joined = found.select("rid", "doc_id", "a", "b", "other_id", "other_rid", "shift").repartition("rid", "other_rid").sortWithinPartitions(*keys).mapInArrow(_merged, "rid long, doc_id long, a int, b int, other_id long, other_rid long, shift int")
+    least_first = F.sort_array(F.collect_set(F.struct(F.col("other_id").isNull().alias("none"), F.col("other_id").alias("id"))))  # null last
+    listed = joined.groupBy("rid", "doc_id", "a", "b").agg(least_first.alias("o")).withColumn("other_ids", F.col("o.id"))
+    return listed.select("rid", "doc_id", F.col("a").alias("start_word"), F.col("b").alias("end_word"), (F.col("b") - F.col("a")).alias("n_words"), F.element_at("other_ids", 1).alias("other_id"), "other_ids")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import collections
+import random
+
+import numpy as np
 from rerunlab.llm import suffix
 
 
@@ -22,3 +26,41 @@ def test_each_passage_is_in_its_other_document(spark):
     of = {i: {j for x in got if x[0] == i for j in range(x[1], x[2])} for i in texts}
     assert of == {1: set(range(60)), 2: set(range(20, 80)), 3: set(range(60)), 4: set(range(120)), 5: {*range(60), *range(70, 130)}}
     assert any(x[0] == 4 and x[4] in (2, 3, 5) and x[1] == 60 for x in got)
+
+
+def test_rows_at_the_edges_of_ranges(spark):
+    """Many ranges, some of them rows of one document alone: every word in a window of 12
+    that another document has is covered, and each row is in its other documents."""
+    r = random.Random(4)
+    loop = "p q r s t u".split() * 40
+    parts = [[f"w{i}{j}" for j in range(r.randint(6, 30))] for i in range(8)]
+    texts = [loop, loop[3:], loop[:60] + ["x"] + loop[:30]]
+    texts += [[w for _ in range(r.randint(1, 5)) for w in r.choice(parts)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    least, before, adaptive = 12, spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    owners = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for j in range(len(t) - least + 1):
+            owners[tuple(t[j : j + least])].add(i)
+    want = {(i, k) for i, t in enumerate(texts) for j in range(len(t) - least + 1) if len(owners[tuple(t[j : j + least])]) > 1 for k in range(j, j + least)}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = suffix.repeated_passages(docs, least=least, gram=4).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert {(x["doc_id"], k) for x in rows for k in range(x["start_word"], x["end_word"])} == want
+    for x in rows:
+        passage = " ".join(texts[x["doc_id"]][x["start_word"] : x["end_word"]])
+        assert x["doc_id"] not in x["other_ids"] and x["other_id"] == min(x["other_ids"])
+        assert all(f" {passage} " in f" {' '.join(texts[o])} " for o in x["other_ids"])
+
+
+def test_rolled_hashes():
+    h = np.random.default_rng(0).integers(0, 1 << 63, 90).astype(np.uint64)
+    for width in range(1, 33):
+        value = np.zeros(len(h) - width + 1, np.uint64)
+        for j in range(width):
+            value = value * suffix._MUL + h[j : j + len(value)]
+        assert np.array_equal(suffix._rolled(h, width), value)
