@@ -7,11 +7,15 @@ copy without b. What is left accepts one sequence of tokens for each string: the
 that merging gives. The state after a token is set by the token alone, so a gadget
 is two entries: the arc ``made`` with its two halves, and the arc ``cut`` from the
 state after a. A state's arcs follow from those of the states it was copied from, as
-they stood when copied, and are entered in the transition table when first used.
+they stood when copied; there are too many (tokens times tokens) to write all down, so an
+arc's presence is entered in a table when first asked for.
 
-A pre-split word is read byte by byte. After each byte the automaton is in the state
-of the one token that ends the prefix's encoding: the token that an arc allows after
-the state of the prefix before it. Decoding emits the arcs' labels, bytes.
+Words are read by a second table, compiled once: transitions by byte over the beginnings of
+all labels, with the state to fall back to and, for each state, the arcs whose labels
+end there, longest first. Reading a pre-split word takes one transition a byte; after
+each byte the automaton is in the state of the one token that ends the prefix's encoding:
+the first of the arcs ending there that leaves the state of the prefix before it. Decoding
+emits the arcs' labels, bytes.
 
 Defined results: a null text counts as empty and gives no ids. Strings of special
 tokens in a text become their ids. Bytes that do not form UTF-8 decode to U+FFFD.
@@ -34,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import ship
 from .vocab import BYTE_BPE, byte_letters, character_class, latin, load
 
-#: Words and transitions a worker remembers before it starts anew.
-WORDS, ARCS = 400_000, 2_000_000
+#: Bytes of words with their ids, and arcs, a worker remembers before it starts anew;
+#: longer words are not remembered.
+WORD_BYTES, ARCS, LONGEST = 48 << 20, 2_000_000, 100
 START = -1
 
 
@@ -50,8 +55,8 @@ class Automaton:
             if a in self.arcs and b in self.arcs:  # else no path leads there
                 self._gadget(step, self.arcs[a], self.arcs[b], a + b, ids[a + b])
         self.labels = {i: label for label, i in self.arcs.items()}
-        self.longest = max(map(len, self.arcs))
-        self.table: dict[int, bool] = {}  # transitions used so far
+        self.table: dict[int, bool] = {}  # presence of the arcs asked for so far
+        self._compile()
 
     def _gadget(self, step: int, a: int, b: int, label: bytes, made: int) -> None:
         """Arc ``made`` runs beside a then b; the state after a loses arc b."""
@@ -96,30 +101,62 @@ class Automaton:
                 return True
             token, until = parts[0], min(until, parts[2])
 
+    def _compile(self) -> None:
+        """``moves`` (state and byte to state), ``back`` (the state of the longest beginning of
+        a label that ends a state's string) and ``ends`` (token and length of the labels
+        that do, longest first)."""
+        moves: dict[int, int] = {}
+        back, ends, depth = [0], [()], [0]
+        own: dict[int, int] = {}
+        for label, token in self.arcs.items():
+            at = 0
+            for b in label:
+                to = moves.get(at << 8 | b)
+                if to is None:
+                    to = moves[at << 8 | b] = len(depth)
+                    depth.append(depth[at] + 1)
+                at = to
+            own[at] = token
+        back += [0] * (len(depth) - 1)
+        ends += [()] * (len(depth) - 1)
+        for key, to in sorted(moves.items(), key=lambda m: depth[m[1]]):  # shorter strings first
+            at, b = key >> 8, key & 0xFF
+            fall = back[at]
+            while at and (fall << 8 | b) not in moves and fall:
+                fall = back[fall]
+            back[to] = moves.get(fall << 8 | b, 0) if at else 0
+            ends[to] = ends[back[to]]
+            if to in own:
+                ends[to] = ((own[to], depth[to]), *ends[to])
+        self.moves, self.back, self.ends = moves, back, ends
+
     def run(self, word: bytes) -> list[int]:
         """The tokens of the one accepted path that spells ``word``."""
-        n, arcs, table, allows = len(word), self.arcs, self.table, self.allows
-        state, origin = [START] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = arcs.get(word[j:i])
-                if token is not None:
-                    before = state[j]
-                    if before == START:
-                        if j:
-                            continue
-                    else:
-                        ok = table.get(before << 20 | token)
-                        if not (allows(before, token) if ok is None else ok):
-                            continue
-                    state[i], origin[i] = token, j
-                    break
+        moves, back, ends, table, allows = self.moves, self.back, self.ends, self.table, self.allows
+        state, length, at = [START], [0], 0
+        for i, b in enumerate(word, 1):
+            to = moves.get(at << 8 | b)
+            while to is None:
+                if not at:
+                    raise ValueError("no path spells this word")
+                at = back[at]
+                to = moves.get(at << 8 | b)
+            at = to
+            for token, n in ends[at]:
+                before = state[i - n]
+                if before != START:
+                    ok = table.get(before << 20 | token)
+                    if not (allows(before, token) if ok is None else ok):
+                        continue
+                state.append(token)
+                length.append(n)
+                break
             else:
                 raise ValueError("no path spells this word")
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at = origin[at]
+        out, i = [], len(word)
+        while i:
+            out.append(state[i])
+            i -= length[i]
         return out[::-1]
 
 
@@ -145,6 +182,7 @@ class Coder:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.narrow, self.wide, self.path = re.compile(self._pattern(0x100)), None, path
         self.words: dict[str, bytes] = {}
+        self.remembered = 0  # bytes
 
     def _pattern(self, limit: int, more: dict[str, str] | None = None) -> str:
         """Words: contractions, then runs of letters, numbers or other characters with a
@@ -191,12 +229,19 @@ class Coder:
             return b"".join([words[w] for w in found])
         except KeyError:
             pass
-        if len(words) > WORDS:
-            words.clear()
+        out = []
         for w in found:
-            if w not in words:
-                words[w] = np.array(run(w.encode()), "<u4").tobytes()
-        return b"".join([words[w] for w in found])
+            ids = words.get(w)
+            if ids is None:
+                ids = np.array(run(w.encode()), "<u4").tobytes()
+                if len(w) <= LONGEST:
+                    self.remembered += 2 * len(w) + len(ids) + 150  # with the entry's own bytes
+                    if self.remembered > WORD_BYTES:
+                        words.clear()
+                        self.remembered = 0
+                    words[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of the text that the ids' labels spell."""

@@ -1,13 +1,14 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Vectors are dealt into blocks. In a block every dimension has one sorted list. For a
-query the lists are read in order from the end where their contributions are largest,
-a stretch at a time, those first that may still add most. Each vector has a lower
-bound (what was read, plus the least its unread lists can add) and an upper one (plus
-the contributions those lists have come down to); the lengths, which come with the
-entries, bound what is unread as well. Reading stops when few vectors have an upper
-bound that reaches the k-th lower bound: outsiders cannot qualify any more. The final
-scores of those left are then resolved and their best k go on to the merge over blocks.
+query the lists are read in order from the end where their contributions are largest, a
+stretch at a time, those first that may still add most. Each vector has a lower bound
+(what was read, plus the least its unread lists can add) and an upper one (plus the
+contributions those lists have come down to); a vector's length comes with its entries,
+and what is left of it bounds what is unread as well. Vectors whose upper bound is below
+the k-th lower bound cannot qualify and are passed over from then on. A list is read until
+all vectors that may qualify were met in it, so at the end their scores are whole; no
+entry is looked up out of turn. Their best k go on to the merge over blocks.
 
 Components are floor(scale * x) with x as double, so scores are whole numbers.
 Defined results: vectors that are null or hold null or non-finite components take no
@@ -28,6 +29,8 @@ from pyspark.sql.window import Window
 from .common import Table, with_row_id
 
 BLOCK, QUERY_BLOCK = 8192, 4096
+#: A list is read in so many stretches.
+STRETCHES = 4
 
 
 class Lists:
@@ -35,46 +38,53 @@ class Lists:
     values in dimension d, ascending, and every entry comes with its vector's length."""
 
     def __init__(self, values: np.ndarray, ids: np.ndarray):
-        self.values, self.ids = values, ids
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        self.ids = ids
+        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T, axis=0).T)
-        self.length = np.sqrt((values**2).sum(axis=1))
+        self.square = (values**2).sum(axis=1)  # squared lengths
+        self.read = 0
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id."""
-        n, enough = len(self.ids), max(4 * k, len(self.ids) // 8)
-        live = np.flatnonzero(self.ids != own)
-        dims = np.flatnonzero(q != 0)
-        at = np.zeros(len(q), np.int64)  # entries read of each list
-        front, worst = np.zeros(len(q)), np.zeros(len(q))
-        front[dims] = np.where(q[dims] > 0, self.sorted[dims, -1], self.sorted[dims, 0]) * q[dims] if n else 0
-        worst[dims] = np.where(q[dims] > 0, self.sorted[dims, 0], self.sorted[dims, -1]) * q[dims] if n else 0
-        total, unread, stretch = np.zeros(n), np.ones((len(q), n)), n
-        lists = max(1, len(dims) // 2)
-        while len(live) > enough and (at[dims] < n).any():
+        """Ids and scores of the k best, ties to the smaller id. ``read`` counts entries."""
+        n, self.read = len(self.ids), 0
+        live, dims = np.arange(n), np.flatnonzero(q != 0)
+        place = np.arange(n, dtype=np.int32)  # of each vector among those that may qualify
+        total, left = np.where(self.ids == own, -np.inf, 0.0), self.square.copy()
+        unread = np.ones((len(dims), len(live)), np.float32)
+        at, missing = np.zeros(len(dims), np.int64), np.full(len(dims), len(live))  # entries read; vectors not met yet
+        up, low_end, high_end = q[dims] > 0, self.sorted[dims, 0], self.sorted[dims, -1]
+        front = np.where(up, high_end, low_end) * q[dims]
+        worst = np.where(up, low_end, high_end) * q[dims]
+        slack = 1e-3 + 1e-5 * (np.abs(front).sum() + np.abs(worst).sum())  # of the bounds' rounding
+        stretch = max(1, n // STRETCHES)
+        while (some := np.flatnonzero(missing)).size:
             # go on with the lists that may still add most
-            spread = np.where(at[dims] < n, np.maximum(front[dims] - worst[dims], 1e-9), 0)
-            for d in dims[np.argsort(-spread, kind="stable")[:lists]]:
-                if at[d] == n:
-                    continue
-                to = min(n, int(at[d]) + stretch)
-                part = slice(n - to, n - int(at[d])) if q[d] > 0 else slice(int(at[d]), to)
-                seen = self.order[d, part]
-                total[seen] += self.sorted[d, part] * q[d]
-                unread[d, seen] = 0
-                at[d] = to
-                front[d] = self.sorted[d, n - to if q[d] > 0 else to - 1] * q[d] if to < n else 0
-            # what unread lists add lies between their ends, and within the lengths' product
-            least, most, square = np.stack([worst, front, q * q]) @ unread
-            reach = np.sqrt(square) * self.length * (1 + 1e-9) + 1e-3
-            low = (total + np.maximum(least, -reach))[live]
-            high = (total + np.minimum(most, reach))[live]
+            for i in some[np.argsort(worst[some] - front[some], kind="stable")[: -(-len(some) // 2)]]:
+                d, to = dims[i], min(n, int(at[i]) + stretch)
+                part = slice(n - to, n - int(at[i])) if up[i] else slice(int(at[i]), to)
+                seen, values = self.order[d, part], self.sorted[d, part]
+                if len(live) < n:
+                    seen = place[seen]
+                    met = seen >= 0
+                    seen, values = seen[met], values[met]
+                total[seen] += values * q[d]
+                left[seen] -= values * values
+                unread[i, seen] = 0
+                self.read, at[i], missing[i] = self.read + to - int(at[i]), to, missing[i] - len(seen)
+                front[i] = self.sorted[d, n - to if up[i] else to - 1] * q[d]
             if len(live) > k:
-                live = live[high >= np.partition(low, len(live) - k)[len(live) - k]]
-            lists = max(1, len(dims) // 4)
-        scores = self.values[live] @ q
-        best = np.lexsort((self.ids[live], -scores))[:k]
-        return self.ids[live][best], scores[best]
+                least, most, square = np.stack([worst, front, q[dims] ** 2]).astype(np.float32) @ unread
+                reach = np.sqrt(square * np.maximum(left, 0)) * (1 + 1e-5) + slack
+                low = total + np.maximum(least - slack, -reach)
+                high = total + np.minimum(most + slack, reach)
+                keep = (high >= np.partition(low, len(live) - k)[len(live) - k]) & (high > -np.inf)
+                if not keep.all():
+                    place[live] = -1
+                    live, total, left, unread = live[keep], total[keep], left[keep], unread[:, keep]
+                    place[live] = np.arange(len(live))
+                    missing = unread.sum(axis=1).astype(np.int64)
+        best = np.lexsort((self.ids[live], -total))[: min(k, int(np.isfinite(total).sum()))]
+        return self.ids[live][best], total[best]
 
 
 def _matrix(t: pa.Table, name: str) -> np.ndarray:
