@@ -46,7 +46,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words", "other_id", "other_ids")
+    return suffix.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "end_word", "n_words", "other_id", "parts")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ content: the words from there on, then the words before it, backwards. Neighbour
 this order, and in the order that compares backwards first, are compared and the
 match extended left and right word by word. A match of ``least`` words or more is kept.
 Extensions reach ``window`` words back and ``least`` words on, which is as far as the
-next kept suffix of the passage, so the matches of its suffixes with one document join to
-the whole of it. Matches with different documents, or at different places of one, are not
-joined: each row is a passage that its ``other_ids`` have in one piece.
+next kept suffix of the passage, so the matches of its suffixes join to the whole of it.
+A row is such a whole passage, in which every word stands in a run of ``least`` words that
+another document has; its ``parts`` say which document has which words of it in one piece.
 
 Where a suffix's best match ahead and its best match back are with different texts, a
 third text, no neighbour in either order, might share a run of ``least`` words that
@@ -45,6 +45,8 @@ from pyspark.sql import functions as F
 from .common import Table, join_hot, settled, with_row_id
 
 LEAST, GRAM = 50, 20
+#: Bytes of texts whose words are hashed at once.
+SLICE = 1 << 20
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -83,15 +85,44 @@ def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def minimisers(hashes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the kept suffixes and the hashes of their first ``gram`` words."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_INVERSE = pow(int(_MUL), -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.multiply.accumulate(factors)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts ``data[starts:ends]``, which lie one after the
+    other, and the text it is in. A word's bytes are the coefficients of a polynomial."""
+    inside = ~_SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = first[ends] = True  # no word spans two texts
+    begin = np.flatnonzero(inside & np.r_[True, ~inside[:-1] | first[1:-1]]) if len(data) else np.zeros(0, np.int64)
+    end = np.flatnonzero(inside & np.r_[~inside[1:] | first[1:-1], True]) + 1 if len(data) else begin
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    value = (total[end] - total[begin]) * inverse[begin]
+    value ^= value >> np.uint64(32)
+    return value * _MIX, np.searchsorted(starts, begin, "right") - 1
+
+
+def minimisers(hashes: np.ndarray, text: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the kept suffixes among the words and the hashes of their first ``gram``
+    words. ``text``, ascending: the text of each word; no run goes over two of them."""
     n = len(hashes) - gram + 1
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     value = _rolled(hashes, gram)
     value = (value ^ (value >> np.uint64(29))) * _MIX
     value ^= value >> np.uint64(32)
+    value |= np.uint64(1)  # never zero, as windows over two texts are
     least = _sliding(value, window, np.minimum)
+    least[text[: len(least)] != text[gram + window - 2 :]] = 0
     pad = np.zeros(window - 1, np.uint64)
     best = _sliding(np.concatenate([pad, least, pad]), window, np.maximum)
     at = np.flatnonzero(best == value)
@@ -102,18 +133,24 @@ def kept_suffixes(rows: DataFrame, gram: int, window: int) -> DataFrame:
     """h, rid, pos of every kept suffix. ``rows``: rid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
+        power = inverse = np.zeros(0, np.uint64)
         for batch in batches:
-            hs, rids, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                words = (t.as_py() or b"").split()
-                if len(words) < gram + window - 1:
-                    continue
-                pos, h = minimisers(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), gram, window)
-                hs.append(h.view(np.int64))
-                rids.append(np.full(len(pos), rid))
-                at.append(pos.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, rids, at)], ["h", "rid", "pos"])
+            rid, column = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).fill_null(b"")
+            offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+            at = 0
+            while at < len(rid):
+                # some whole texts, a bounded number of bytes unless one text alone has more
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+                data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[at] : offsets[to]]
+                if len(data) > len(power):
+                    power, inverse = _powers(int(_MUL), len(data)), _powers(_INVERSE, len(data))
+                starts = offsets[at:to] - offsets[at]
+                hashes, text = word_hashes(data, starts, offsets[at + 1 : to + 1] - offsets[at], power, inverse)
+                place, h = minimisers(hashes, text, gram, window)
+                before = np.searchsorted(text, np.arange(to - at))  # words of the texts before
+                where = text[place]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[at:to][where]), pa.array((place - before[where]).astype(np.int32))], ["h", "rid", "pos"])
+                at = to
 
     return rows.select("rid", "text").mapInArrow(run, "h long, rid long, pos int")
 
@@ -179,15 +216,17 @@ class Comparison:
     def __init__(self, least: int, forwards: bool, part: int):
         self.least, self.forwards, self.part, self.out = least, forwards, part, []
 
-    def match(self, row: list, b: tuple) -> None:
-        """``row`` (its values, best match so far) takes what it shares with the values ``b``."""
+    def match(self, row: list, b: tuple, known: tuple[int, int] | None = None) -> tuple[int, int] | None:
+        """``row`` (its values, best match so far) takes what it shares with the values ``b``:
+        words ahead and back, ``known`` if these two were compared before."""
         a = row[0]
         if a[0] != b[0]:
-            return
-        right, left = common_words(a[4], b[4]), common_words(a[5], b[5])
+            return None
+        right, left = known or (common_words(a[4], b[4]), common_words(a[5], b[5]))
         row[1] = max(row[1], (right, left) if self.forwards else (left, right))
         if left + right >= self.least:
             self.out.append((*a[:4], None, None, left, right, b[2], b[1], b[3] - a[3], MATCH, self.part))
+        return right, left
 
     def release(self, row: list) -> None:
         """Passes the row on as open if its best match is less than all it has."""
@@ -213,7 +252,7 @@ def _neighbours(least: int, forwards: bool):
         c = Comparison(least, forwards, TaskContext.get().partitionId())
         first = last = other = None  # the first row, the last, and the last of another document than that
         held: list[list] = []  # rows of the last document, waiting for one of another
-        second = False
+        second, known = False, None
 
         def settle(rows):
             for row in rows:
@@ -229,8 +268,9 @@ def _neighbours(least: int, forwards: bool):
                     if not second:
                         second = True
                         c.keep([values, (-1, -1)], SECOND)
+                    known = None
                     for row in held:
-                        c.match(row, values)
+                        known = c.match(row, values)
                     settle(held)
                     held = []
                 elif held and held[-1][0][0] != values[0]:  # nothing of their beginning follows
@@ -238,7 +278,8 @@ def _neighbours(least: int, forwards: bool):
                     held = []
                 row = [values, (-1, -1), not second]  # the last: whether of the first document
                 if other is not None:
-                    c.match(row, other)
+                    c.match(row, other, known)  # known: the last row held was ``other``
+                known = None
                 held.append(row)
                 last = values
             if len(c.out) >= 5000:
@@ -357,37 +398,61 @@ def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
     return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.col("o.doc_id").alias("other_id"), F.col("o.rid").alias("other_rid"), (F.col("o.start") - F.col("start")).alias("shift"))
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans rid, doc_id, a, b, other_id, other_rid, shift in the order of rid, other_rid,
-    shift, a: those that touch are joined where they lie equally shifted in one other row,
-    which so has the joined span too."""
-    names = ["rid", "doc_id", "a", "b", "other_id", "other_rid", "shift"]
-    carried = None  # the last span, which the next batch may go on
+def _runs(table: pa.Table, same: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in the order of the columns ``same`` and a: the first row and the furthest end
+    of each run of rows equal in ``same`` whose spans a to b overlap or touch."""
+    a, b = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
+    new = np.r_[True, np.any([np.diff(table.column(c).to_numpy()) != 0 for c in same], axis=0)]
+    group, wide = np.cumsum(new), np.int64(1) << 32
+    reach = np.maximum.accumulate(group * wide + b)  # the furthest end so far among equals
+    new[1:] |= group[1:] * wide + a[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return first, np.maximum.reduceat(b, first).astype(np.int32)
+
+
+def _in_runs(batches: Iterator[pa.RecordBatch], same: list[str], close) -> Iterator[pa.RecordBatch]:
+    """``close(table, first, end)`` for the runs of the sorted batches, none of them cut."""
+    held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        if carried is not None:
-            table = pa.concat_tables([carried, table])
-        if not table.num_rows:
-            continue
-        rid, a, b, other, shift = (table.column(c).to_numpy() for c in ("rid", "a", "b", "other_rid", "shift"))
-        new = np.r_[True, (rid[1:] != rid[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1])]
-        group = np.cumsum(new)
-        wide = np.int64(1) << 32
-        reach = np.maximum.accumulate(group * wide + b)  # the furthest end so far of each key
-        new[1:] |= group[1:] * wide + a[1:] > reach[:-1]
-        first = np.flatnonzero(new)
-        end = np.maximum.reduceat(b, first)
-        joined = table.take(first).set_column(names.index("b"), "b", pa.array(end, pa.int32()))
-        carried = joined.slice(joined.num_rows - 1)
-        yield from joined.slice(0, joined.num_rows - 1).combine_chunks().to_batches()
-    if carried is not None:
-        yield from carried.combine_chunks().to_batches()
+        table = table if held is None else pa.concat_tables([held, table])
+        if table.num_rows:
+            first, end = _runs(table, same)
+            held = table.slice(first[-1])
+            if len(first) > 1:
+                yield from close(table.slice(0, first[-1]), first[:-1], end[:-1]).combine_chunks().to_batches()
+    if held is not None:
+        yield from close(held, *_runs(held, same)).combine_chunks().to_batches()
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans rid, doc_id, a, b, other_id, other_rid, shift: those that touch are joined where
+    they lie equally shifted in one other row, which so has the joined span too."""
+
+    def close(table, first, end):
+        return table.take(first).set_column(3, "b", pa.array(end))
+
+    return _in_runs(batches, ["rid", "other_rid", "shift"], close)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, doc_id, a, b and parts (other_id, start_word, end_word) of whole passages."""
+
+    def close(table, first, end):
+        table = table.combine_chunks()
+        part = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in ("other_id", "a", "b")], ["other_id", "start_word", "end_word"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, table.num_rows].astype(np.int32)), part)
+        heads = table.take(first)
+        return pa.table([heads.column("rid"), heads.column("doc_id"), heads.column("a"), pa.array(end), lists], ["rid", "doc_id", "a", "b", "parts"])
+
+    return _in_runs(batches, ["rid"], close)
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each passage of ``least`` words or more that another document has too:
-    rid, doc_id, start_word, end_word (exclusive), n_words, other_id (the smallest of
-    other_ids), other_ids (the documents found that have it in one piece)."""
+    """One row for each passage of ``least`` words or more that other documents have:
+    rid, doc_id, start_word, end_word (exclusive), n_words, parts (other_id, start_word,
+    end_word: words of the passage that the other document has in one piece, at least
+    ``least``; together they are the passage), other_id (the smallest of parts; null if all are)."""
     window = least - gram + 1
     rows = with_row_id(settled(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "rid")
     kept = Table(kept_suffixes(rows, gram, window))
@@ -405,8 +470,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     third = _shared_windows(rest, least)
     suffixes.drop()
     found = spans[0].unionByName(spans[1]).unionByName(third)
-    keys = ["rid", "other_rid", "shift", "a"]
-    joined = found.select("rid", "doc_id", "a", "b", "other_id", "other_rid", "shift").repartition("rid", "other_rid").sortWithinPartitions(*keys).mapInArrow(_merged, "rid long, doc_id long, a int, b int, other_id long, other_rid long, shift int")
-    least_first = F.sort_array(F.collect_set(F.struct(F.col("other_id").isNull().alias("none"), F.col("other_id").alias("id"))))  # null last
-    listed = joined.groupBy("rid", "doc_id", "a", "b").agg(least_first.alias("o")).withColumn("other_ids", F.col("o.id"))
-    return listed.select("rid", "doc_id", F.col("a").alias("start_word"), F.col("b").alias("end_word"), (F.col("b") - F.col("a")).alias("n_words"), F.element_at("other_ids", 1).alias("other_id"), "other_ids")
+    columns = "rid long, doc_id long, a int, b int, other_id long, other_rid long, shift int"
+    sorted_spans = found.select(*(c.split()[0] for c in columns.split(", "))).repartition("rid").sortWithinPartitions("rid", "other_rid", "shift", "a")
+    united = sorted_spans.mapInArrow(_united, columns).sortWithinPartitions("rid", "a", "b")  # still all of a row in one partition
+    whole = united.mapInArrow(_passages, "rid long, doc_id long, a int, b int, parts array<struct<other_id:long,start_word:int,end_word:int>>")
+    parts = F.array_sort(F.array_distinct("parts"))
+    return whole.select("rid", "doc_id", F.col("a").alias("start_word"), F.col("b").alias("end_word"), (F.col("b") - F.col("a")).alias("n_words"), F.array_min("parts.other_id").alias("other_id"), parts.alias("parts"))

@@ -17,15 +17,23 @@ def test_each_passage_is_in_its_other_document(spark):
     texts = {1: a + text("x", 20), 2: text("y", 20) + b, 3: b + text("z", 20), 4: a + b, 5: a + text("v", 10) + b}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     rows = suffix.repeated_passages(docs).collect()
-    assert len(rows) == len({(r["doc_id"], r["start_word"], r["end_word"]) for r in rows})
-    assert all(r["other_id"] == min(r["other_ids"]) for r in rows)
-    got = [(r["doc_id"], r["start_word"], r["end_word"], r["n_words"], i) for r in rows for i in r["other_ids"]]
-    for i, start, end, n, other in got:
-        passage = " ".join(texts[i][start:end])
-        assert n == end - start >= 50 and i != other and f" {passage} " in f" {' '.join(texts[other])} "
-    of = {i: {j for x in got if x[0] == i for j in range(x[1], x[2])} for i in texts}
-    assert of == {1: set(range(60)), 2: set(range(20, 80)), 3: set(range(60)), 4: set(range(120)), 5: {*range(60), *range(70, 130)}}
-    assert any(x[0] == 4 and x[4] in (2, 3, 5) and x[1] == 60 for x in got)
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows} == {(1, 0, 60), (2, 20, 80), (3, 0, 60), (4, 0, 120), (5, 0, 60), (5, 70, 130)}
+    check(rows, texts, 50)
+    (four,) = [r for r in rows if r["doc_id"] == 4]
+    assert {(p["other_id"], p["start_word"], p["end_word"]) for p in four["parts"]} & {(i, 60, 120) for i in (2, 3, 5)}
+
+
+def check(rows, texts, least):
+    """Every part is in its other document in one piece, and the parts make up the row."""
+    assert len(rows) == len({(r["doc_id"], r["start_word"]) for r in rows})
+    for r in rows:
+        assert r["n_words"] == r["end_word"] - r["start_word"] >= least
+        assert r["other_id"] == min(p["other_id"] for p in r["parts"])
+        assert {k for p in r["parts"] for k in range(p["start_word"], p["end_word"])} == set(range(r["start_word"], r["end_word"]))
+        for p in r["parts"]:
+            passage = " ".join(texts[r["doc_id"]][p["start_word"] : p["end_word"]])
+            assert p["end_word"] - p["start_word"] >= least and p["other_id"] != r["doc_id"]
+            assert f" {passage} " in f" {' '.join(texts[p['other_id']])} "
 
 
 def test_rows_at_the_edges_of_ranges(spark):
@@ -51,10 +59,7 @@ def test_rows_at_the_edges_of_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert {(x["doc_id"], k) for x in rows for k in range(x["start_word"], x["end_word"])} == want
-    for x in rows:
-        passage = " ".join(texts[x["doc_id"]][x["start_word"] : x["end_word"]])
-        assert x["doc_id"] not in x["other_ids"] and x["other_id"] == min(x["other_ids"])
-        assert all(f" {passage} " in f" {' '.join(texts[o])} " for o in x["other_ids"])
+    check(rows, texts, least)
 
 
 def test_rolled_hashes():
@@ -64,3 +69,19 @@ def test_rolled_hashes():
         for j in range(width):
             value = value * suffix._MUL + h[j : j + len(value)]
         assert np.array_equal(suffix._rolled(h, width), value)
+
+
+def test_word_hashes_tell_words_apart():
+    r = random.Random(2)
+    texts = ["", " ", "a", "ab ba", "x" * 3000, *(" ".join("".join(r.choices("ab\u00e9", k=r.randint(1, 9))) + r.choice(["", "\t", "\n \r"]) for _ in range(r.randint(0, 40))) for _ in range(300))]
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(t) for t in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    power, inverse = suffix._powers(int(suffix._MUL), len(data)), suffix._powers(suffix._INVERSE, len(data))
+    got, text = suffix.word_hashes(data, ends - [len(t) for t in raw], ends, power, inverse)
+    words = [(i, w) for i, t in enumerate(raw) for w in t.split()]
+    assert text.tolist() == [i for i, _ in words]
+    of = {}
+    for h, (_, w) in zip(got.tolist(), words, strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
