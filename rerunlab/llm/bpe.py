@@ -40,7 +40,7 @@ from .vocab import BYTE_BPE, byte_letters, character_class, latin, load
 
 #: Bytes of words with their ids, and arcs, a worker remembers before it starts anew;
 #: longer words are not remembered.
-WORD_BYTES, ARCS, LONGEST = 48 << 20, 2_000_000, 100
+WORD_BYTES, ARCS, LONGEST = 112 << 20, 2_000_000, 100
 START = -1
 
 

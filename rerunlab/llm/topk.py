@@ -1,14 +1,15 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Vectors are dealt into blocks. In a block every dimension has one sorted list. For a
-query the lists are read in order from the end where their contributions are largest, a
-stretch at a time, those first that may still add most. Each vector has a lower bound
+Vectors are dealt into blocks. In a block every dimension has one sorted list. The lists
+are read in order from the end where a query's contributions are largest (both ends, for
+queries of either sign), a stretch of each list at a time. Each vector has a lower bound
 (what was read, plus the least its unread lists can add) and an upper one (plus the
 contributions those lists have come down to); a vector's length comes with its entries,
 and what is left of it bounds what is unread as well. Vectors whose upper bound is below
-the k-th lower bound cannot qualify and are passed over from then on. A list is read until
-all vectors that may qualify were met in it, so at the end their scores are whole; no
-entry is looked up out of turn. Their best k go on to the merge over blocks.
+the k-th lower bound cannot qualify and are passed over from then on. Reading goes on until
+all vectors that may qualify were met in every list, so at the end their scores are whole;
+no entry is looked up out of turn. Their best k go on to the merge over blocks. The bounds
+of many queries, which share the order of reading, are matrix products.
 
 Components are floor(scale * x) with x as double, so scores are whole numbers.
 Defined results: vectors that are null or hold null or non-finite components take no
@@ -29,62 +30,61 @@ from pyspark.sql.window import Window
 from .common import Table, with_row_id
 
 BLOCK, QUERY_BLOCK = 8192, 4096
-#: A list is read in so many stretches.
-STRETCHES = 4
+#: A list is read in so many stretches; so many queries are taken at once.
+STRETCHES, TOGETHER = 4, 64
 
 
 class Lists:
-    """The sorted lists of one block of vectors: list d has the vectors' places and
-    values in dimension d, ascending, and every entry comes with its vector's length."""
+    """The sorted lists of one block of vectors, as each vector's place in every list
+    (ascending) and the lists' values; entries come with their vector's length."""
 
     def __init__(self, values: np.ndarray, ids: np.ndarray):
-        self.ids = ids
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T, axis=0).T)
-        self.square = (values**2).sum(axis=1)  # squared lengths
-        self.read = 0
-
-    def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id. ``read`` counts entries."""
-        n, self.read = len(self.ids), 0
-        live, dims = np.arange(n), np.flatnonzero(q != 0)
-        place = np.arange(n, dtype=np.int32)  # of each vector among those that may qualify
-        total, left = np.where(self.ids == own, -np.inf, 0.0), self.square.copy()
-        unread = np.ones((len(dims), len(live)), np.float32)
-        at, missing = np.zeros(len(dims), np.int64), np.full(len(dims), len(live))  # entries read; vectors not met yet
-        up, low_end, high_end = q[dims] > 0, self.sorted[dims, 0], self.sorted[dims, -1]
-        front = np.where(up, high_end, low_end) * q[dims]
-        worst = np.where(up, low_end, high_end) * q[dims]
-        slack = 1e-3 + 1e-5 * (np.abs(front).sum() + np.abs(worst).sum())  # of the bounds' rounding
-        stretch = max(1, n // STRETCHES)
-        while (some := np.flatnonzero(missing)).size:
-            # go on with the lists that may still add most
-            for i in some[np.argsort(worst[some] - front[some], kind="stable")[: -(-len(some) // 2)]]:
-                d, to = dims[i], min(n, int(at[i]) + stretch)
-                part = slice(n - to, n - int(at[i])) if up[i] else slice(int(at[i]), to)
-                seen, values = self.order[d, part], self.sorted[d, part]
-                if len(live) < n:
-                    seen = place[seen]
-                    met = seen >= 0
-                    seen, values = seen[met], values[met]
-                total[seen] += values * q[d]
-                left[seen] -= values * values
-                unread[i, seen] = 0
-                self.read, at[i], missing[i] = self.read + to - int(at[i]), to, missing[i] - len(seen)
-                front[i] = self.sorted[d, n - to if up[i] else to - 1] * q[d]
-            if len(live) > k:
-                least, most, square = np.stack([worst, front, q[dims] ** 2]).astype(np.float32) @ unread
-                reach = np.sqrt(square * np.maximum(left, 0)) * (1 + 1e-5) + slack
-                low = total + np.maximum(least - slack, -reach)
-                high = total + np.minimum(most + slack, reach)
-                keep = (high >= np.partition(low, len(live) - k)[len(live) - k]) & (high > -np.inf)
-                if not keep.all():
-                    place[live] = -1
-                    live, total, left, unread = live[keep], total[keep], left[keep], unread[:, keep]
-                    place[live] = np.arange(len(live))
-                    missing = unread.sum(axis=1).astype(np.int64)
-        best = np.lexsort((self.ids[live], -total))[: min(k, int(np.isfinite(total).sum()))]
-        return self.ids[live][best], total[best]
+        self.values, self.ids = values, ids
+        order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, axis=0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Ids and scores of the k best for each query, ties to the smaller id, and how many
+        entries of each list were read for it."""
+        n, out = len(self.ids), [(np.zeros(0, np.int64), np.zeros(0), 0)] * len(queries)
+        if not n:
+            return out
+        asked, some = np.arange(len(queries)), np.arange(n)  # queries not settled, vectors that may qualify for one
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        total, live = np.zeros((len(queries), n)), self.ids != own[:, None]
+        slack = 1e-3 + 1e-5 * (np.abs(queries) @ np.abs(self.sorted[[0, -1]]).max(axis=0))[:, None]  # of the bounds' rounding
+        values, place, read, stretch = self.values.T, self.place.T, 0, max(1, -(-n // STRETCHES))
+        while len(asked):
+            to = min(n, read + stretch)
+            new = (place >= n - to) & (place < n - read), (place < to) & (place >= read)
+            total += up @ np.where(new[0], values, 0) + down @ np.where(new[1], values, 0)
+            read = to
+            unread = (place < n - read).astype(np.float32), (place >= read).astype(np.float32)
+
+            def over(a, b, unread=unread):  # sums over unread entries, from weights of either sign
+                return a.astype(np.float32) @ unread[0] + b.astype(np.float32) @ unread[1]
+
+            square = over(up**2, down**2)
+            least = over(up * self.sorted[0], down * self.sorted[-1])
+            most = over(up * self.sorted[n - read], down * self.sorted[read - 1])
+            rest = (values**2).astype(np.float32)
+            left = (up > 0).astype(np.float32) @ (rest * unread[0]) + (down < 0).astype(np.float32) @ (rest * unread[1])
+            reach = np.sqrt(square * left) * (1 + 1e-5) + slack
+            low = np.where(live, total + np.maximum(least - slack, -reach), -np.inf)
+            if len(some) > k:
+                bar = np.partition(low, len(some) - k, axis=1)[:, len(some) - k, None]
+                live &= total + np.minimum(most + slack, reach) >= bar
+            settled = ~(live & (square > 0)).any(axis=1)
+            for i in np.flatnonzero(settled):
+                ids, scores = self.ids[some[live[i]]], total[i, live[i]]
+                best = np.lexsort((ids, -scores))[:k]
+                out[asked[i]] = ids[best], scores[best], read
+            go, keep = ~settled, live[~settled].any(axis=0)
+            asked, up, down, slack, some = asked[go], up[go], down[go], slack[go], some[keep]
+            total, live, values, place = total[go][:, keep], live[go][:, keep], values[:, keep], place[:, keep]
+        return out
 
 
 def _matrix(t: pa.Table, name: str) -> np.ndarray:
@@ -104,10 +104,12 @@ def _search(k: int):
             if largest >= 2**53:
                 raise ValueError("components too large for exact scores")
             lists = Lists(values, vectors.column("id").to_numpy())
-            for q, own, row in zip(asked, queries.column("id").to_pylist(), queries.column("rid").to_pylist(), strict=True):
-                ids, scores = lists.top(q, own, k)
-                for column, x in zip(out, (np.full(len(ids), own), np.full(len(ids), row), ids, scores.astype(np.int64)), strict=True):
-                    column.append(x)
+            own, rows = queries.column("id").to_numpy(), queries.column("rid").to_numpy()
+            for at in range(0, len(asked), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                for i, (ids, scores, _) in enumerate(lists.top(asked[part], own[part], k), at):
+                    for column, x in zip(out, (np.full(len(ids), own[i]), np.full(len(ids), rows[i]), ids, scores.astype(np.int64)), strict=True):
+                        column.append(x)
         return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in out], schema)
 
     return run

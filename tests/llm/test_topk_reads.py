@@ -20,8 +20,9 @@ def test_blocks_of_every_size_are_read(n):
     if not n:
         return
     lists = topk.Lists(values, ids)
-    for q, own in [*zip(values, ids, strict=True), (np.zeros(7), -1), (values[0], -1)]:
-        got, want = lists.top(q, own, 10), best(values, ids, q, own, 10)
+    queries, own = np.concatenate([values, np.zeros((1, 7)), values[:1]]), np.concatenate([ids, [-1, -1]])
+    for q, o, got in zip(queries, own, lists.top(queries, own, 10), strict=True):
+        want = best(values, ids, q, o, 10)
         assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
 
 
@@ -33,8 +34,9 @@ def test_clustered_vectors_stop_early(monkeypatch):
     near = rng.choice(4000, 12, replace=False)
     values[near] += 500
     ids = np.arange(4000)
-    lists = topk.Lists(values, ids)
     q = np.full(16, 300.0)
-    got, want = lists.top(q, -1, 10), best(values, ids, q, -1, 10)
-    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
-    assert lists.read <= values.size / 20
+    for sign in (1, -1):
+        lists = topk.Lists(sign * values, ids)
+        ((found, scores, read),), want = lists.top(sign * q[None], np.array([-1]), 10), best(values, ids, q, -1, 10)
+        assert np.array_equal(found, want[0]) and np.array_equal(scores, want[1])
+        assert read <= len(values) / 20
