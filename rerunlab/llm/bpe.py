@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -133,8 +134,9 @@ class Automaton:
     def run(self, word: bytes) -> list[int]:
         """The tokens of the one accepted path that spells ``word``."""
         moves, back, ends, table, allows = self.moves, self.back, self.ends, self.table, self.allows
-        state, length, at = [START], [0], 0
-        for i, b in enumerate(word, 1):
+        state, length, at, i = [START], [0], 0, 0
+        for b in word:
+            i += 1
             to = moves.get(at << 8 | b)
             while to is None:
                 if not at:
@@ -143,14 +145,10 @@ class Automaton:
                 to = moves.get(at << 8 | b)
             at = to
             for token, n in ends[at]:
-                before = state[i - n]
-                if before != START:
-                    ok = table.get(before << 20 | token)
-                    if not (allows(before, token) if ok is None else ok):
-                        continue
-                state.append(token)
-                length.append(n)
-                break
+                if n == i or table.get(key := state[i - n] << 20 | token) or key not in table and allows(state[i - n], token):
+                    state.append(token)
+                    length.append(n)
+                    break
             else:
                 raise ValueError("no path spells this word")
         out, i = [], len(word)
@@ -225,23 +223,20 @@ class Coder:
     def _plain(self, text: str) -> bytes:
         words, run = self.words, self.automaton.run
         found = self.split(text)
-        try:
-            return b"".join([words[w] for w in found])
-        except KeyError:
-            pass
-        out = []
-        for w in found:
-            ids = words.get(w)
-            if ids is None:
-                ids = np.array(run(w.encode()), "<u4").tobytes()
-                if len(w) <= LONGEST:
-                    self.remembered += 2 * len(w) + len(ids) + 150  # with the entry's own bytes
-                    if self.remembered > WORD_BYTES:
-                        words.clear()
-                        self.remembered = 0
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        missing = set(found).difference(words)
+        for w in missing:
+            ids = run(w.encode())
+            words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        out = b"".join(map(words.__getitem__, found))
+        for w in missing:
+            if len(w) > LONGEST:
+                del words[w]
+            else:
+                self.remembered += 2 * len(w) + len(words[w]) + 150  # with the entry's own bytes
+        if self.remembered > WORD_BYTES:
+            words.clear()
+            self.remembered = 0
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of the text that the ids' labels spell."""
