@@ -21,6 +21,9 @@ from pyspark.sql.window import Window
 #: Used only by a local master whose session names no ``spark.checkpoint.dir`` (tests).
 FALLBACK_DIR = "file:///tmp/checkpoints/rerunlab"
 
+#: After so many tables the driver is asked to forget finished steps.
+RELEASE = 6
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -91,6 +94,8 @@ class Table:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path)
+        if len(_written) % RELEASE == 0:
+            release(self.spark)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, join_hot, release
+from .common import Table, join_hot
 
 
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
@@ -37,10 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         if not rows or (rows, mark) == state:
             break
         state = (rows, mark)
-        star = Table(_large_star(table.df, rows))
-        settled = Table(_small_star(star.df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows))
+        star = _large_star(table.df, rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        settled = Table(_small_star(star, rows))
         table.drop()
-        star.drop()
         table = settled
-    release(links.sparkSession)
     return table.df.select(F.col("a").alias("node"), F.col("b").alias("component"))

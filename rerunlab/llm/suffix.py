@@ -439,10 +439,12 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rid, doc_id, a, b and parts (other_id, start_word, end_word) of whole passages."""
 
     def close(table, first, end):
-        table = table.combine_chunks()
+        keys = [table.column(c).to_numpy() for c in ("rid", "a", "b", "other_rid")]
+        new = np.r_[True, np.any([np.diff(x) != 0 for x in keys], axis=0)]  # a part may be found more than once
+        starts = np.r_[0, np.cumsum(new)][np.r_[first, table.num_rows]].astype(np.int32)
+        heads, table = table.take(first), table.filter(pa.array(new)).combine_chunks()
         part = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in ("other_id", "a", "b")], ["other_id", "start_word", "end_word"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, table.num_rows].astype(np.int32)), part)
-        heads = table.take(first)
+        lists = pa.ListArray.from_arrays(pa.array(starts), part)
         return pa.table([heads.column("rid"), heads.column("doc_id"), heads.column("a"), pa.array(end), lists], ["rid", "doc_id", "a", "b", "parts"])
 
     return _in_runs(batches, ["rid"], close)
@@ -472,7 +474,6 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, tex
     found = spans[0].unionByName(spans[1]).unionByName(third)
     columns = "rid long, doc_id long, a int, b int, other_id long, other_rid long, shift int"
     sorted_spans = found.select(*(c.split()[0] for c in columns.split(", "))).repartition("rid").sortWithinPartitions("rid", "other_rid", "shift", "a")
-    united = sorted_spans.mapInArrow(_united, columns).sortWithinPartitions("rid", "a", "b")  # still all of a row in one partition
+    united = sorted_spans.mapInArrow(_united, columns).sortWithinPartitions("rid", "a", "b", "other_rid")  # still all of a row in one partition
     whole = united.mapInArrow(_passages, "rid long, doc_id long, a int, b int, parts array<struct<other_id:long,start_word:int,end_word:int>>")
-    parts = F.array_sort(F.array_distinct("parts"))
-    return whole.select("rid", "doc_id", F.col("a").alias("start_word"), F.col("b").alias("end_word"), (F.col("b") - F.col("a")).alias("n_words"), F.array_min("parts.other_id").alias("other_id"), parts.alias("parts"))
+    return whole.select("rid", "doc_id", F.col("a").alias("start_word"), F.col("b").alias("end_word"), (F.col("b") - F.col("a")).alias("n_words"), F.array_min("parts.other_id").alias("other_id"), "parts")
