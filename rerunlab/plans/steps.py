@@ -79,9 +79,9 @@ def w11(spark, d):
     return rounded(f.select(*RUN, "mean_surprise", "max_surprise", "share_surprising", "least_likely"), 8)
 
 
-@register("w12_holm", "WITH p AS (SELECT l_suppkey AS cell, avg(l_discount) AS p FROM lineitem GROUP BY l_suppkey HAVING l_suppkey <= 40), i AS (SELECT *, row_number() OVER (ORDER BY p, cell) - 1 AS i, count(*) OVER () AS m FROM p) SELECT cell, round(max(least(1.0::DOUBLE, (m - i) * p)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM i")
+@register("w12_holm", "WITH p AS (SELECT l_suppkey AS cell, avg(l_discount) AS p FROM lineitem GROUP BY l_suppkey), i AS (SELECT *, row_number() OVER (ORDER BY p, cell) - 1 AS i, count(*) OVER () AS m FROM p) SELECT cell, round(max(least(1.0::DOUBLE, (m - i) * p)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 9) AS adjusted FROM i")
 def w12(spark, d):
-    p = table(spark, d, "lineitem").where("l_suppkey <= 40").groupBy(F.col("l_suppkey").alias("cell")).agg(F.avg("l_discount").alias("p"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell")).agg(F.avg("l_discount").alias("p"))
     return rounded(st.holm(p, "p", "cell").select("cell", "adjusted"))
 
 
@@ -123,14 +123,14 @@ def a29(spark, d):
     return rounded(st.visit_shares(event_steps(spark, d), RUN))
 
 
-JS = f"""{SHARES}, rn AS (SELECT DISTINCT user_id, day FROM sh WHERE user_id % 3 = 0), pr AS (SELECT a.user_id, a.day AS da, b.day AS db FROM rn a JOIN rn b ON a.user_id = b.user_id AND a.day < b.day),
+JS = f"""{SHARES}, rn AS (SELECT DISTINCT user_id, day FROM sh), pr AS (SELECT a.user_id, a.day AS da, b.day AS db FROM rn a JOIN rn b ON a.user_id = b.user_id AND a.day < b.day),
 g AS (SELECT pr.*, x.act FROM pr, (SELECT DISTINCT act FROM sh) x), v AS (SELECT g.*, coalesce(a.share, 0) AS p, coalesce(b.share, 0) AS q FROM g LEFT JOIN sh a ON g.user_id = a.user_id AND g.da = a.day AND g.act = a.act LEFT JOIN sh b ON g.user_id = b.user_id AND g.db = b.day AND g.act = b.act),
 js AS (SELECT user_id, da, db, greatest(sum(CASE WHEN p > 0 THEN 0.5::DOUBLE * p * log2(2 * p / (p + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN 0.5::DOUBLE * q * log2(2 * q / (p + q)) ELSE 0 END), 0) AS js FROM v GROUP BY user_id, da, db)"""
 
 
 @register("a30_js_dispersion", f"{S}, {JS} SELECT user_id, round(avg(js), 8) AS dispersion, count(*) AS pairs FROM js GROUP BY user_id")
 def a30(spark, d):
-    shares = st.visit_shares(event_steps(spark, d).where("user_id % 3 = 0"), RUN)
+    shares = st.visit_shares(event_steps(spark, d), RUN)
     js = st.js_dispersion(shares, ["user_id"], ["day"])
     return rounded(js.groupBy("user_id").agg(F.avg("js").alias("dispersion"), F.count(F.lit(1)).alias("pairs")), 8)
 
@@ -150,7 +150,7 @@ def a31(spark, d):
 )
 def a32(spark, d):
     """Divergence between runs of different outcome over that between runs of one outcome."""
-    s = event_steps(spark, d).where("user_id % 3 = 0")
+    s = event_steps(spark, d)
     label = s.groupBy(*RUN).agg(F.max((F.col("act") == "purchase").cast("int")).alias("y"))
     js = st.js_dispersion(st.visit_shares(s, RUN), ["user_id"], ["day"]).select("user_id", F.col("run_a.day").alias("da"), F.col("run_b.day").alias("db"), "js")
     t = js.join(label.select("user_id", F.col("day").alias("da"), F.col("y").alias("ya")), ["user_id", "da"]).join(label.select("user_id", F.col("day").alias("db"), F.col("y").alias("yb")), ["user_id", "db"])
