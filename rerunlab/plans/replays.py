@@ -5,41 +5,45 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.special import beta_survival_udf
-from ..operators import outcome, replay
+from ..operators import outcome, predict, replay
 from ..operators import relational as rel
 from ..registry import register
-from .bindings import PART_RUNS, part_runs, rounded
+from .bindings import PART_RUNS, part_runs, rounded, table
 
 TRIALS = 10
 
 
 def runs(spark, d):
-    """A small bench: tasks are suppliers, one run in five succeeds, one in twenty of the tasks' runs is kept."""
-    r = part_runs(spark, d).select(F.pmod(F.col("supplier"), F.lit(100)).alias("task"), "unit", F.when((F.col("unit") + F.col("supplier")) % 5 == 0, 0).otherwise(1).alias("y"), "cost", "s", "status")
-    return r
+    """All recorded runs: tasks are suppliers by their number's last two digits, one run in
+    five succeeds, turns are the quantity, and the score lies between 0 and 1."""
+    l = table(spark, d, "lineitem").select(F.col("l_partkey").alias("unit"), F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").alias("cost"), (F.col("l_discount") * 10).alias("s"), F.col("l_quantity").cast("int").alias("steps"), F.col("l_linestatus").alias("status"))
+    return l.withColumn("task", F.pmod("supplier", F.lit(100))).withColumn("y", F.when((F.col("unit") + F.col("supplier")) % 5 == 0, 0).otherwise(1))
 
 
-def made(spark, d, part=None):
-    r = runs(spark, d)
-    if part:
-        r = rel.split_half(r, "task", 7).where(F.col("part") == part)
-    priors = outcome.pseudo_counts(r.withColumn("win", (F.col("status") == "F").cast("int")), "task", "win", 0.5)
-    return replay.bench(r.select("task", "y", "cost", "s"), priors)
+def transferred(r, weight=0.5):
+    """Prior counts from the other outcome table."""
+    return outcome.pseudo_counts(r.withColumn("win", (F.col("status") == "F").cast("int")), "task", "win", weight)
+
+
+def half(spark, d, part):
+    return rel.split_half(runs(spark, d), "task", 7).where(F.col("part") == part)
 
 
 def budgets(b):
-    one = float(b.mean_cost.sum())
+    """The cost of one and of three runs of every task."""
+    one = float(b.where("index = 0").agg(F.sum("mean_cost")).first()[0])
     return [one, 3 * one]
 
 
 def summary(rows):
-    return rows.groupBy("policy", "budget").agg(F.avg("solved").alias("solved"), F.avg("spent").alias("spent"), F.avg("pulls").alias("pulls"), F.count(F.lit(1)).alias("trials"))
+    return rows.groupBy("policy", "budget").agg(F.avg("solved").alias("solved"), F.avg("spent").alias("spent"), F.avg("pulls").alias("pulls"), F.avg("aborted").alias("aborted"), F.count(F.lit(1)).alias("trials"))
 
 
-def policy_query(name, policies, **how):
+def policy_query(name, policies):
     def f(spark, d):
-        b = made(spark, d, "eval")
-        return summary(replay.trials(b, spark, policies, budgets(b), TRIALS, **how))
+        r = half(spark, d, "eval")
+        b = replay.bench(r, transferred(r)).cache()
+        return summary(replay.trials(b, spark, policies, budgets(b), TRIALS))
 
     register(name)(f)
 
@@ -48,39 +52,70 @@ policy_query("b01_round_robin", ["round_robin"])
 policy_query("b02_static_ranking", ["static"])
 policy_query("b03_thompson", ["cold", "warm"])
 policy_query("b04_greedy_oracle", ["greedy", "oracle"])
-policy_query("b07_turn_cap", ["round_robin", "capped"], cap=30_000.0)
-policy_query("b08_give_up", ["give_up"])
-policy_query("b09_routed", ["cold", "routed"])
+policy_query("b08_give_up", ["warm", "warm_cost", "give_up"])
 
 
 @register("b05_abort")
 def b05(spark, d):
-    b = made(spark, d, "eval")
+    """Runs with a score past 0.8 are stopped after turn 5 and charged up to it."""
+    b = replay.bench(half(spark, d, "eval")).cache()
     x = budgets(b)
-    return summary(replay.trials(b, spark, ["round_robin", "abort"], x, TRIALS, {("abort", v): 0.08 for v in x}))
+    return summary(replay.trials(b, spark, ["round_robin", "abort"], x, TRIALS, thresholds={("abort", v): 0.8 for v in x}))
 
 
 @register("b06_hybrid_tuned")
 def b06(spark, d):
     """Thresholds chosen on the tuning tasks, used on the others."""
-    tune, b = made(spark, d, "tune"), made(spark, d, "eval")
+    t, e = half(spark, d, "tune"), half(spark, d, "eval")
+    tune, b = replay.bench(t, transferred(t)).cache(), replay.bench(e, transferred(e)).cache()
     x = budgets(b)
-    cuts = replay.tuned_thresholds(tune, spark, ["abort", "hybrid"], x, 4, (0.8, 0.95))
-    return summary(replay.trials(b, spark, ["warm", "abort", "hybrid"], x, TRIALS, cuts))
+    cuts = replay.tuned_thresholds(tune, spark, ["abort", "hybrid"], x, TRIALS)
+    return summary(replay.trials(b, spark, ["warm", "abort", "hybrid"], x, TRIALS, thresholds=cuts))
+
+
+@register("b07_turn_cap")
+def b07(spark, d):
+    """The cap is the median length of the tuning tasks' successful runs."""
+    cap = int(half(spark, d, "tune").where("y = 0").agg(F.percentile_approx("steps", 0.5, 100_000)).first()[0])
+    e = half(spark, d, "eval")
+    b = replay.bench(e, transferred(e), cap=cap).cache()
+    return summary(replay.trials(b, spark, ["round_robin", "capped", "capped_curve", "warm", "warm_capped"], budgets(b), TRIALS, cap=cap))
+
+
+@register("b09_routed")
+def b09(spark, d):
+    """Routing on the score of the run drawn, and abort past the calibrated break-even."""
+    r = half(spark, d, "eval")
+    b = replay.bench(r, transferred(r)).cache()
+    return summary(replay.trials(b, spark, ["cold", "routed", "routed_pure", "routed_prior", "fair_abort"], budgets(b), TRIALS, calibration=replay.calibration(r)))
 
 
 @register("b15_prior_weights")
 def b15(spark, d):
-    """Warm Thompson sampling under priors of three weights."""
-    r, out = runs(spark, d), None
-    for weight in (0.25, 1.0, 4.0):
-        priors = outcome.pseudo_counts(r.withColumn("win", (F.col("status") == "F").cast("int")), "task", "win", weight)
-        b = replay.bench(r.select("task", "y", "cost", "s"), priors)
-        rows = summary(replay.trials(b, spark, ["warm"], budgets(b)[:1], TRIALS)).withColumn("weight", F.lit(weight))
+    """Thompson sampling on tasks without a history, under priors from difficulty as predicted
+    from the task's features and vector by a model of the other tasks, of three weights, beside
+    no prior, the transferred one and the true rates."""
+    r = runs(spark, d)
+    tasks = r.groupBy("task").agg(F.avg(1 - F.col("y")).alias("rate"), F.avg("unit").alias("unit"), F.avg("supplier").alias("supplier"))
+    mean = predict.mean_pool(table(spark, d, "embeddings").withColumn("task", F.pmod("vec_id", F.lit(100))), ["task"], "embedding")
+    rows = tasks.join(mean, "task").select("task", "rate", "unit", "supplier", "embedding").collect()  # a row a task, as every trial holds
+    x = [f"x{i}" for i in range(max((len(r["embedding"]) for r in rows), default=0))]
+    tasks = spark.createDataFrame([(r["task"], r["rate"], r["unit"], r["supplier"], *r["embedding"]) for r in rows], ", ".join(["task long", *(f"{c} double" for c in ("rate", "unit", "supplier", *x))]))
+    known = rel.split_half(tasks, "task", 7)
+    model = predict.ridge(["unit", "supplier", *x], "rate")(known.where("part = 'tune'").drop("part"))
+    predicted = model(known.where("part = 'eval'").drop("part")).select("task", "rate", F.least(F.greatest("score", F.lit(0.01)), F.lit(0.99)).alias("q")).cache()
+    e, out = half(spark, d, "eval"), None
+    priors = {f"predicted {w}": predicted.select("task", (1 + w * F.col("q")).alias("alpha"), (1 + w * (1 - F.col("q"))).alias("beta")) for w in (0.25, 1.0, 4.0)}
+    priors |= {"none": None, "transferred": transferred(e, 1.0), "true": predicted.select("task", (1 + 50 * F.col("rate")).alias("alpha"), (1 + 50 * (1 - F.col("rate"))).alias("beta"))}
+    for name, prior in priors.items():
+        b = replay.bench(e, prior).cache()
+        rows = summary(replay.trials(b, spark, ["warm"], budgets(b)[:1], TRIALS)).withColumn("prior", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+
+
 @register("p16_give_up_predicate")
 def p16(spark, d):
     """Tasks whose chance of more than a tenth has fallen under one in twenty."""
@@ -112,8 +147,9 @@ def b11(spark, d):
 
 @register("b11r_replayed_budget")
 def b11r(spark, d):
-    b = made(spark, d, "eval")
-    curve = replay.spending_curve(b, spark, ["round_robin", "static", "warm"], 3 * float(b.mean_cost.sum()), TRIALS)
+    r = half(spark, d, "eval")
+    b = replay.bench(r, transferred(r)).cache()
+    curve = replay.spending_curve(b, ["round_robin", "static", "warm"], budgets(b)[1], TRIALS)
     return replay.budget_to_reach(curve, 2, TRIALS, "round_robin")
 
 

@@ -162,36 +162,118 @@ def test_special_functions():
     assert special.beta_survival(0.9, 50, 5) == pytest.approx(1 - special.beta_survival(0.1, 5, 50))
 
 
-def small_bench():
+@pytest.fixture(scope="module")
+def small_runs(spark):
     rng = np.random.default_rng(1)
-    cost = [rng.uniform(5, 20, 6) for _ in range(20)]
-    wins = [(rng.random(6) < 0.1 + 0.04 * i).astype(int) for i in range(20)]
-    rate = np.array([w.mean() for w in wins])
-    prior = np.column_stack([1 + 3 * rate, 4 - 3 * rate])
-    value = rate / np.array([c.mean() for c in cost])
-    return replay.Bench(cost, wins, [rng.random(6) for _ in range(20)], [c * 0.3 for c in cost], prior, np.argsort(-value, kind="stable"))
+    rows = []
+    for t in range(20):
+        for _ in range(6):
+            steps = int(rng.integers(1, 12))
+            cum = np.cumsum(rng.uniform(1, 3, steps)).tolist()
+            rows.append((t, int(rng.random() >= 0.1 + 0.04 * t), cum[-1], float(rng.random()), steps, cum))
+    runs = spark.createDataFrame(rows, "task int, y int, cost double, s double, steps int, cum array<double>")
+    priors = spark.createDataFrame([(t, 1.0 + t % 5, 4.0) for t in range(20)], "task int, alpha double, beta double")
+    return runs, replay.bench(runs, priors, abort_turn=3, cap=5).cache()
+
+
+CALIBRATION = ([0.5], [0.4, 0.8], 0.6)
+HOW = dict(threshold=0.7, cap=5, calibration=CALIBRATION)
+
+
+def plain(d, policy, budget, seed):
+    """The policies once more, in plain Python over dictionaries."""
+    rng, tasks = np.random.default_rng(seed), list(d.task)
+    of = {r.task: r for r in d.itertuples()}
+    order = [tasks[i] for i in rng.permutation(len(tasks))]
+    warm = policy in ("warm", "warm_cost", "give_up", "hybrid", "warm_capped", "routed_prior", "fair_abort")
+    ab = {t: [of[t].alpha, of[t].beta] if warm else [1.0, 1.0] for t in tasks}
+    mon, seen, alive = {t: [0.0, 0.0] for t in tasks}, dict.fromkeys(tasks, 0), dict.fromkeys(tasks, True)
+    fixed = sorted(tasks, key=lambda t: -(of[t].alpha / (of[t].alpha + of[t].beta) / of[t].mean_cost))
+    spent, solved, at = 0.0, 0, 0
+    while spent < budget and any(alive.values()):
+        live = [t for t in tasks if alive[t]]
+        if policy in ("round_robin", "abort", "capped", "capped_curve", "static"):
+            line = fixed if policy == "static" else order
+            while not alive[line[at % len(line)]]:
+                at += 1
+            t = line[at % len(line)]
+            at += 1
+        elif policy == "oracle":
+            t = max(live, key=lambda t: of[t].truth / of[t].mean_cost)
+            if of[t].truth <= 0:
+                break
+        elif policy == "greedy":
+            t = next((t for t in live if not seen[t]), live[0])  # nothing alive has won yet
+        else:
+            rate = dict(zip(tasks, rng.beta([max(ab[t][0] + mon[t][0], 1e-3) for t in tasks], [max(ab[t][1] + mon[t][1], 1e-3) for t in tasks]), strict=True))
+            price = {t: of[t].cost[rng.integers(len(of[t].cost))] for t in tasks} if policy == "warm_cost" else {t: of[t].mean_cost for t in tasks}
+            t = max(live, key=lambda t: rate[t] / max(price[t], 1.0))
+        i = seen[t]
+        r, seen[t] = {c: getattr(of[t], c)[i] for c in ("cost", "win", "s", "steps", "early", "capped")}, i + 1
+        charge, got = r["cost"], r["win"]
+        if policy in ("abort", "hybrid") and r["s"] >= 0.7:
+            charge, got = r["early"], 0
+        if policy == "fair_abort":
+            fail = 0.8 if r["s"] >= 0.5 else 0.4
+            if fail > 0.6 and fail > of[t].mean_score:
+                charge, got = r["early"], 0
+        if policy in ("capped", "warm_capped") and r["steps"] > 5:
+            charge, got = r["capped"], 0
+        if policy == "capped_curve":
+            charge, got = r["capped"], int(r["win"] and r["steps"] <= 5)
+        spent += charge
+        if policy.startswith("routed"):
+            mon[t][0] += 1 - r["s"]
+            mon[t][1] += r["s"]
+        if got:
+            solved, alive[t] = solved + 1, False
+        elif policy != "routed_pure":
+            ab[t][1] += 1
+            if policy == "give_up" and special.beta_survival(0.1, *ab[t]) < 0.05:
+                alive[t] = False
+    return solved, spent
+
+
+def test_draws_are_recorded_runs(small_runs):
+    runs, b = small_runs
+    rows = {(r["task"], r["index"]): r for r in b.collect()}
+    assert len(rows) == runs.count() and {i for t, i in rows if t == 4} == set(range(6))
+    for r in runs.collect():
+        met = [x for (t, _), x in rows.items() if t == r["task"] and x["cost"] == r["cost"]]
+        assert [(x["early"], x["capped"], x["win"]) for x in met] == [(r["cum"][min(3, r["steps"]) - 1], r["cum"][min(5, r["steps"]) - 1], 1 - r["y"])]
+    d = replay.draws(b, [0, 1], 400, 5).toPandas()
+    assert len(d) == 40 and all(len(x) == 400 for x in d.cost)
+    shares = [np.mean(np.array(x) == y) for x, y in zip(d.cost, d.cost.map(lambda c: c[0]), strict=True)]
+    assert 0.05 < min(shares) and max(shares) < 0.3  # each of six runs about alike
 
 
 @pytest.mark.parametrize("policy", replay.POLICIES)
-def test_policies_keep_their_budget(policy):
-    b = small_bench()
-    for budget in (50.0, 400.0):
-        t = replay.Trial(b, budget, 3, threshold=0.9 if policy in ("abort", "hybrid") else np.inf, cap=12.0 if policy == "capped" else np.inf).run(policy)
-        assert t.solved <= 20 and t.spent < budget + 20 and t.solved == len(t.curve)
-        again = replay.Trial(b, budget, 3, threshold=0.9 if policy in ("abort", "hybrid") else np.inf, cap=12.0 if policy == "capped" else np.inf).run(policy)
-        assert (again.solved, again.spent) == (t.solved, t.spent)
+def test_policies_equal_a_plain_simulator(small_runs, policy):
+    d = replay.draws(small_runs[1], [0], 4000, 5).toPandas().sort_values("task", ignore_index=True)
+    for budget in (30.0, 400.0, 1500.0):
+        for seed in (3, 4):
+            t = replay.Trial(d, policy, budget, seed, **HOW).run()
+            assert t.solved == len(t.curve) and t.spent < budget + 40
+            assert (t.solved, t.spent) == pytest.approx(plain(d, policy, budget, seed))
+
+
+def test_trials_go_on_where_draws_are_used_up(spark, small_runs, monkeypatch):
+    full = {tuple(r) for r in replay.trials(small_runs[1], spark, ["static", "warm"], [900.0], 4).collect()}
+    monkeypatch.setattr(replay, "READY", 1)
+    assert {tuple(r) for r in replay.trials(small_runs[1], spark, ["static", "warm"], [900.0], 4).collect()} == full
+    assert len(full) == 8
 
 
-def test_oracle_beats_round_robin():
-    b = small_bench()
-    mean = {p: np.mean([replay.Trial(b, 200.0, s).run(p).solved for s in range(30)]) for p in ("oracle", "static", "round_robin")}
-    assert mean["oracle"] >= mean["static"] >= mean["round_robin"]
+def test_oracle_beats_round_robin(spark, small_runs):
+    rows = replay.trials(small_runs[1], spark, ["oracle", "round_robin"], [150.0], 30).groupBy("policy").agg(F.avg("solved").alias("m")).collect()
+    mean = {r["policy"]: r["m"] for r in rows}
+    assert mean["oracle"] > mean["round_robin"]
 
 
-def test_large_bench_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(replay, "MOST_RUNS", 3)
-    with pytest.raises(ValueError, match="too many"):
-        replay.bench(spark.createDataFrame([(1, 0, 1.0)] * 4, "task int, y int, cost double"))
+def test_runs_are_numbered_in_cells(spark, small_runs, monkeypatch):
+    monkeypatch.setattr(replay, "PER_CELL", 7)
+    b = replay.bench(small_runs[0])
+    assert {i: n for i, n in b.groupBy("index").count().collect()} == dict.fromkeys(range(6), 20)
 
 
 def test_folds_do_not_share_groups(runs):
