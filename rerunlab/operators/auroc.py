@@ -83,6 +83,16 @@ def pooled(df: DataFrame, by: list[str] | None = None, y: str = "y", score: str
     return sums.select(*by, ratio(F.col("concordance"), F.col("p") * F.col("n")).alias("auroc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
+def pooled_by_rank(df: DataFrame, y: str = "y", score: str = "s") -> DataFrame:
+    """Pooled AUROC from average ranks: (R - P (P + 1) / 2) / (P N) with R the sum of the
+    positives' ranks among all runs. The ranks follow from how many runs have each score."""
+    h = histogram(df, [], y, score).withColumn("both", F.col("p") + F.col("n"))
+    ranked = below(h, [], "both").withColumn("rank", F.col("below") + (F.col("both") + 1) / F.lit(2.0))
+    sums = ranked.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    p, n = F.col("positives"), F.col("negatives")
+    return sums.select(ratio(F.col("r") - p * (p + 1) / F.lit(2.0), p * n).alias("auroc"), "positives", "negatives")
+
+
 def pooled_sampled(df: DataFrame, pairs: int, key: str, y: str = "y", score: str = "s", seed: int = 0) -> DataFrame:
     """Pooled AUROC over about ``pairs`` random pairs: positives and negatives meet where
     their hashes fall into one of so many buckets that this many pairs do. The exact

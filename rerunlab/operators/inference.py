@@ -193,25 +193,50 @@ def corrupted(df: DataFrame, run: str, rate: float, y: str = "y", seed: int = 0)
     return df.withColumn(y, F.when(uniform(F.col(run), seed=seed) < rate, 1 - F.col(y)).otherwise(F.col(y)))
 
 
+def noise_to_reach(df: DataFrame, unit: list[str], run: str, observed: float, seed: int = 0, rounds: int = 18) -> float:
+    """The rate at which labels must be flipped for the within-unit AUROC of ``s`` to fall
+    to ``observed``."""
+    return -bisected(lambda x: auroc.within(corrupted(df, run, -x, seed=seed), unit).first()["auroc"], observed, -0.5, 0.0, rounds)
+
+
 def noise_share(observed: Column, target: Column) -> Column:
     """The label noise that would bring ``target`` down to ``observed``."""
     return 1 - F.try_divide(observed - 0.5, target - 0.5)
 
 
-def monitor_scores(df: DataFrame, unit: list[str], run: str, kind: str, strength: float, seed: int = 0) -> DataFrame:
-    """Synthetic monitors. A: a signal free of unit means. B: the unit's failure rate
-    plus that signal. D: noise that grows with difficulty."""
-    w = Window.partitionBy(*unit)
-    rate = F.avg("y").over(w)
-    noise, signal = gaussian(F.col(run), seed=seed), F.lit(float(strength)) * F.col("y")
-    if kind == "A":
-        x = df.withColumn("_x", noise + signal)
-        return x.withColumn("s", F.col("_x") - F.avg("_x").over(w)).drop("_x")
+def bisected(measure, target: float, low: float, high: float, rounds: int = 18) -> float:
+    """The number between ``low`` and ``high`` at which ``measure``, which grows with it,
+    comes to ``target``. Each round is a query that gives one number."""
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        got = measure(mid)
+        low, high = (mid, high) if got is None or got < target else (low, mid)
+    return (low + high) / 2
+
+
+def monitor_scores(df: DataFrame, unit: list[str], run: str, kind: str, strength: float, weight: float = 2.0, spread: float = 0.6, seed: int = 0) -> DataFrame:
+    """Synthetic monitors with a separation of ``strength`` between labels in a unit. A: free
+    of unit means. B: plus ``weight`` times the unit's failure rate transferred from
+    elsewhere (column ``rate``, never the unit's own labels). D: noise that grows with that
+    rate, by ``spread`` for each standard deviation over units, at least a fifth; free of unit means."""
+    noise, signal = gaussian(F.col(run), seed=seed), F.lit(float(strength)) * (F.col("y") - 0.5)
     if kind == "B":
-        return df.withColumn("s", noise + signal + 2 * rate)
+        return df.withColumn("s", noise + signal + float(weight) * F.coalesce("rate", F.lit(0.5)))
     if kind == "D":
-        return df.withColumn("s", signal + noise * (0.5 + rate))
-    raise ValueError(f"unknown monitor: {kind}")
+        over = df.groupBy(*unit).agg(F.avg("rate").alias("_r")).agg(F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_sd"))
+        z = F.coalesce((F.col("rate") - F.col("_m")) / (F.col("_sd") + 1e-9), F.lit(0.0))
+        x = df.crossJoin(F.broadcast(over)).withColumn("_x", signal + noise * F.greatest(1 + spread * z, F.lit(0.2))).drop("_m", "_sd")  # one row
+    elif kind == "A":
+        x = df.withColumn("_x", noise + signal)
+    else:
+        raise ValueError(f"unknown monitor: {kind}")
+    return x.withColumn("s", F.col("_x") - F.avg("_x").over(Window.partitionBy(*unit))).drop("_x")
+
+
+def separation(df: DataFrame, unit: list[str], run: str, kind: str, target: float, seed: int = 0, rounds: int = 18, **how) -> float:
+    """The strength at which a synthetic monitor achieves the within-unit AUROC ``target``."""
+    base = math.sqrt(2.0) * normal_quantile(target)
+    return bisected(lambda x: auroc.within(monitor_scores(df, unit, run, kind, x, seed=seed, **how), unit).first()["auroc"], target, 0.5 * base, 5 * base, rounds)
 
 
 def content_permuted(df: DataFrame, unit: list[str], run: str, column: str, seed: int = 0) -> DataFrame:

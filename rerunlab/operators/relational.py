@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,3 +154,32 @@ def assert_same_schema(frames: list[DataFrame]) -> None:
     for f in frames[1:]:
         if f.schema.simpleString() != first:
             raise ValueError(f"schemas differ: {first} and {f.schema.simpleString()}")
+
+
+def padded_batches(df: DataFrame, size: str, key: str, budget: int, most: int = 8) -> DataFrame:
+    """``df`` with ``batch``: rows in the order of size and key, a batch ending with the row
+    at which rows times the longest of them reach ``budget``, or ``most`` rows. Where batches
+    end follows from how many rows there are of each size; that table, a row a size,
+    is walked in one task, and rows are placed by their rank in their size."""
+
+    def walk(counts):
+        out, batch, c = [], 0, 0
+        for length, m in counts.sort_values("_size")[["_size", "_m"]].itertuples(index=False):
+            full = max(1, min(most, -(-budget // length))) if length > 0 else most
+            take = min(m, max(1, full - c)) if c else 0  # the batch that is open
+            if take:
+                out.append((length, 0, take, batch, take))
+                c += take
+                if c >= full:
+                    batch, c = batch + 1, 0
+            if m > take:
+                out.append((length, take, m - take, batch, full))
+                batch, c = batch + (m - take) // full, (m - take) % full
+        return pd.DataFrame(out, columns=["_size", "_first", "_n", "_batch", "_each"])
+
+    sized = df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    counts = sized.groupBy("_size").agg(F.count(F.lit(1)).alias("_m")).withColumn("_one", F.lit(True))
+    steps = counts.groupBy("_one").applyInPandas(walk, "_size long, _first long, _n long, _batch long, _each long")
+    ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy("_size").orderBy(key)) - 1)
+    placed = ranked.join(steps, "_size").where("_rank >= _first AND _rank < _first + _n")
+    return placed.withColumn("batch", (F.col("_batch") + F.floor((F.col("_rank") - F.col("_first")) / F.col("_each"))).cast("long")).select(*df.columns, "batch")

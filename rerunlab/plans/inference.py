@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import auroc, outcome
 from ..operators import inference as inf
@@ -144,13 +145,29 @@ def i17c(spark, d):
     return out
 
 
+@register("i17b_noise_to_reach")
+def i17b(spark, d):
+    """The label noise that would bring monitors of three true strengths down to 0.53."""
+    runs, out = order_runs(spark, d).cache(), []
+    for true in (0.55, 0.6, 0.7):
+        m = inf.monitor_scores(runs, ["unit"], "run", "A", inf.separation(runs, ["unit"], "run", "A", true, rounds=8), seed=0)
+        out.append((true, inf.noise_to_reach(m, ["unit"], "run", 0.53, rounds=8)))
+    return spark.createDataFrame(out, "target double, noise double")
+
+
 @register("i18_synthetic_monitors")
 def i18(spark, d):
-    """What three monitor families achieve; the target is never taken for granted."""
-    runs, out = order_runs(spark, d), None
+    """What three monitor families achieve at a target of 0.7; difficulty is the failure rate
+    of other models' runs of the unit."""
+    runs = order_runs(spark, d)
+    own = Window.partitionBy("unit", "model")
+    whole = Window.partitionBy("unit")
+    others = F.try_divide((F.sum("y").over(whole) - F.sum("y").over(own)).cast("double"), F.count("y").over(whole) - F.count("y").over(own))
+    runs, out = runs.withColumn("rate", others).cache(), None
     for kind in "ABD":
-        m = inf.monitor_scores(runs, ["unit"], "run", kind, 1.0, seed=ord(kind))
-        a = auroc.decomposition(m, ["unit"]).withColumn("family", F.lit(kind))
+        strength = inf.separation(runs, ["unit"], "run", kind, 0.7, seed=ord(kind), rounds=10)
+        m = inf.monitor_scores(runs, ["unit"], "run", kind, strength, seed=ord(kind))
+        a = auroc.decomposition(m, ["unit"]).withColumn("family", F.lit(kind)).withColumn("strength", F.lit(strength))
         out = a if out is None else out.unionByName(a)
     return out
 

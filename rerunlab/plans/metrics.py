@@ -21,7 +21,7 @@ def a02(spark, d):
 
 @register("a02r_pooled_auroc_ranks", f"WITH {ORDER_RUNS}, {RANKED}, {POOL} SELECT round(U / (P * N)::DOUBLE, 9) AS auroc, CAST(P AS BIGINT) AS positives, CAST(N AS BIGINT) AS negatives FROM pool")
 def a02r(spark, d):
-    return rounded(auroc.pooled(order_runs(spark, d)))
+    return rounded(auroc.pooled_by_rank(order_runs(spark, d)))
 
 
 @register("a02s_pooled_auroc_sampled")

@@ -200,11 +200,9 @@ def t05(spark, d):
 
 @register("t06_length_batches")
 def t06(spark, d):
-    """Documents in batches of at most 32,000 padded characters, in order of length."""
+    """Documents in order of length, a batch ending at 32,000 padded characters or eight documents."""
     docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n_chars"))
-    ranged = docs.repartitionByRange("n_chars", "doc_id").withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy("n_chars", "doc_id")
-    return ranged.withColumn("batch", F.floor(F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 32_000)).select("doc_id", "part", "batch")
+    return rel.padded_batches(docs, "n_chars", "doc_id", 32_000)
 
 
 @register("t07_sorted_universe", "SELECT DISTINCT l_suppkey FROM lineitem ORDER BY l_suppkey")

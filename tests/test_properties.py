@@ -337,3 +337,34 @@ def test_streaming_sessions_equal_batch(spark, tmp_path):
     got = spark.read.parquet(f"file://{tmp_path}/out").select("session_window.start", "user_id", "steps", "errors")
     want = pm.session_features(events).select("session_window.start", "user_id", "steps", "errors")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_padded_batches_equal_a_walk(spark):
+    rng = np.random.default_rng(5)
+    for budget, most in ((50, 8), (30, 3), (1, 8), (1000, 4)):
+        sizes = [int(x) for x in rng.integers(0, 25, 120)]
+        df = spark.createDataFrame(list(enumerate(sizes)), "id int, size int").repartition(5)
+        want, batch, held = {}, 0, []
+        for size, i in sorted((s, i) for i, s in enumerate(sizes)):
+            held.append(i)
+            want[i] = batch
+            if len(held) * size >= budget or len(held) >= most:
+                batch, held = batch + 1, []
+        assert {r["id"]: r["batch"] for r in rel.padded_batches(df, "size", "id", budget, most).collect()} == want
+
+
+def test_synthetic_monitors_reach_their_target(spark, runs):
+    rated = runs.withColumn("rate", F.lit(0.2) + F.pmod(F.xxhash64("unit"), F.lit(7)) / 10).withColumn("run", F.xxhash64("unit", "run"))
+    key = "run"
+    for kind in "ABD":
+        x = inference.separation(rated, ["unit"], key, kind, 0.7, rounds=10)
+        got = auroc.within(inference.monitor_scores(rated, ["unit"], key, kind, x), ["unit"]).first()["auroc"]
+        assert abs(got - 0.7) < 0.05, kind
+    flipped = rated.withColumn("y", 1 - F.col("y"))
+    same = inference.monitor_scores(rated, ["unit"], key, "B", 0.0), inference.monitor_scores(flipped, ["unit"], key, "B", 0.0)
+    assert same[0].select(key, "s").exceptAll(same[1].select(key, "s")).count() == 0  # labels do not leak
+
+
+def test_rank_form_equals_the_histogram_form(runs):
+    a, b = auroc.pooled(runs).first(), auroc.pooled_by_rank(runs).first()
+    assert tuple(a) == pytest.approx(tuple(b))
