@@ -129,13 +129,15 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
     """Inner join on ``key``, unique in ``right``, whose ``weight`` counts the key's
     rows in ``left``. Keys with over a thousandth of all rows (so fewer than 1,000
-    of them) are broadcast; the others are shuffled, none of them hot."""
+    of them) are broadcast, where there are any; the others are shuffled, none of them hot."""
     limit = max(1000, rows // 1000)
+    if (right.agg(F.max(weight)).first()[0] or 0) <= limit:  # as a rule: one join, nothing sent to the driver
+        return left.join(right.hint("merge"), key)
     hot = right.where(F.col(weight) > limit)
     rest = right.where(F.col(weight) <= limit)
     marked = left.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
     a = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key)
-    b = marked.where(F.col("_hot").isNull()).drop("_hot").join(rest, key)
+    b = marked.where(F.col("_hot").isNull()).drop("_hot").join(rest.hint("merge"), key)
     return a.unionByName(b)
 
 

@@ -37,8 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         if not rows or (rows, mark) == state:
             break
         state = (rows, mark)
-        star = _large_star(table.df, rows).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        settled = Table(_small_star(star, rows))
+        star = Table(_large_star(table.df, rows))
+        settled = Table(_small_star(star.df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows))
         table.drop()
+        star.drop()
         table = settled
     return table.df.select(F.col("a").alias("node"), F.col("b").alias("component"))

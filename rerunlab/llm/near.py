@@ -292,11 +292,11 @@ def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b of rids that connect all similar texts. ``postings``: rid, n, sig; ``sets``: rid, items."""
     dealt = postings.repartition("sig")
     sizes = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("lead")).where("m > 1")
-    met = Table(dealt.join(sizes, "sig"))
+    met = Table(dealt.join(sizes.hint("merge"), "sig"))
     large = met.df.where(F.col("m") > SMALL)
     few = met.df.where(F.col("m") <= SMALL).select("sig", "rid", "n")
     other = few.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n")))
-    pairs = few.join(other, "sig").where((F.col("rid") < F.col("rid2")) & _fits(F.col("n"), F.col("n2"), percent)).select(F.col("rid").alias("a"), F.col("rid2").alias("b"))
+    pairs = few.join(other.hint("merge"), "sig").where((F.col("rid") < F.col("rid2")) & _fits(F.col("n"), F.col("n2"), percent)).select(F.col("rid").alias("a"), F.col("rid2").alias("b"))
     led = large.where(F.col("rid") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
     pairs = Table(pairs.unionByName(led).distinct())
     first = Table(_verified(pairs.df, sets, percent)).df

@@ -394,6 +394,7 @@ def _shared_windows(suffixes: DataFrame, least: int) -> DataFrame:
     rows = Table(windows_of(suffixes, least)).df
     place = F.struct("rid", "doc_id", "start")
     twice = rows.groupBy("content").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count(F.lit(1)).alias("n")).where("x.rid < y.rid")
+    twice = Table(twice).df
     found = join_hot(rows, twice, "content", "n", rows.count()).withColumn("o", F.when(F.col("rid") == F.col("x.rid"), F.col("y")).otherwise(F.col("x")))
     return found.select("rid", "doc_id", F.col("start").alias("a"), (F.col("start") + least).alias("b"), F.col("o.doc_id").alias("other_id"), F.col("o.rid").alias("other_rid"), (F.col("o.start") - F.col("start")).alias("shift"))
 
