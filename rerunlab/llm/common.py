@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 FALLBACK_DIR = "file:///tmp/checkpoints/rerunlab"
 
 #: After so many tables the driver is asked to forget finished steps.
-RELEASE = 6
+RELEASE = 2
 
 _written: list[tuple[SparkSession, str]] = []
 
