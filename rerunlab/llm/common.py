@@ -22,7 +22,9 @@ from pyspark.sql.window import Window
 FALLBACK_DIR = "file:///tmp/checkpoints/rerunlab"
 
 #: After so many tables the driver is asked to forget finished steps.
-RELEASE = 2
+RELEASE = 3
+#: Characters of a written table's plan that the driver keeps for its listing of queries.
+PLAN_TEXT = "2000"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -93,7 +95,13 @@ class Table:
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path)
+        conf, limit = self.spark.conf, "spark.sql.maxPlanStringLength"
+        before = conf.get(limit)
+        conf.set(limit, PLAN_TEXT)  # the driver keeps the text of every plan of the last thousand
+        try:
+            writer.parquet(self.path)
+        finally:
+            conf.set(limit, before)
         if len(_written) % RELEASE == 0:
             release(self.spark)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
