@@ -134,12 +134,15 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, most: int | None = None) -> DataFrame:
     """Inner join on ``key``, unique in ``right``, whose ``weight`` counts the key's
     rows in ``left``. Keys with over a thousandth of all rows (so fewer than 1,000
-    of them) are broadcast, where there are any; the others are shuffled, none of them hot."""
+    of them) are broadcast, where there are any; the others are shuffled, none of them hot.
+    ``most`` is the largest weight, if known."""
     limit = max(1000, rows // 1000)
-    if (right.agg(F.max(weight)).first()[0] or 0) <= limit:  # as a rule: one join, nothing sent to the driver
+    if most is None:
+        most = right.agg(F.max(weight)).first()[0] or 0
+    if most <= limit:  # as a rule: one join, nothing sent to the driver
         return left.join(right.hint("merge"), key)
     hot = right.where(F.col(weight) > limit)
     rest = right.where(F.col(weight) <= limit)

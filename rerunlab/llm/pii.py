@@ -212,10 +212,16 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return rows.select("rid", "doc_id", "text").mapInArrow(run, ROW)
 
 
-def _weighted(edges: DataFrame, scores: DataFrame, key: str, rows: int) -> DataFrame:
+def _sized(edges: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """How many edges each context or instance has, and the most that one has."""
+    sizes = Table(edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))).df
+    return sizes, sizes.agg(F.max("_n")).first()[0] or 0
+
+
+def _weighted(edges: DataFrame, sized: tuple[DataFrame, int], scores: DataFrame, key: str, rows: int) -> DataFrame:
     """Edges with the score of their context or instance."""
-    sizes = edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return join_hot(edges, sizes.join(scores, key), key, "_n", rows).drop("_n")
+    sizes, most = sized
+    return join_hot(edges, sizes.join(scores.hint("merge"), key), key, "_n", rows, most).drop("_n")
 
 
 def reliable_contexts(seen: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -227,12 +233,13 @@ def reliable_contexts(seen: DataFrame, support: int = SUPPORT, confidence: float
     first = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
     known = first.select("instance", F.col("seed").cast("double").alias("good"), F.col("seed").alias("sure"))
     edges = edges.drop("seed")
+    of_instance, of_context = _sized(edges, "instance"), _sized(edges, "context")
     contexts = None
     for _ in range(rounds):
-        scored = _weighted(edges, known, "instance", rows)
+        scored = _weighted(edges, of_instance, known, "instance", rows)
         contexts = Table(scored.groupBy("context").agg(F.avg("good").alias("reliable"), F.sum(F.col("sure").cast("long")).alias("seeds"))).df
         trusted = (F.col("seeds") >= support) & (F.col("reliable") >= confidence)
-        voted = _weighted(edges, contexts.where(F.col("seeds") >= support).withColumn("trusted", trusted), "context", rows)
+        voted = _weighted(edges, of_context, contexts.where(F.col("seeds") >= support).withColumn("trusted", trusted), "context", rows)
         votes = voted.groupBy("instance").agg((F.sum(F.col("reliable") * F.col("seeds")) / F.sum("seeds")).alias("vote"), F.max("trusted").alias("met"))
         joined = first.join(votes, "instance", "left")
         good = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("vote", F.lit(0.0)))
