@@ -19,9 +19,10 @@ cut from the set itself, as a vector with one bit for each possible shingle:
 Texts with equal sets are one class and never paired. In a small bucket (texts that share
 a block) all pairs are compared, in a large one every text with the first; large
 buckets whose texts these links leave in several components are compared across
-components: the texts of buckets that hang together in one task where they are few, else
-bucket by bucket, dealt into chunks, each two chunks in a task of bounded size. A task
-compares by prefixes of the rarest shingles. No step leaves out a pair that is similar.
+components: the texts of buckets that hang together once, or bucket by bucket where that
+sends less, dealt into chunks by their shingles, each two chunks in a task of bounded size. A
+task counts the shingles that texts share as products of matrices. No step leaves out a pair
+that is similar.
 
 Words are lower-cased (A-Z) runs of other than ASCII white space. Shingles count as equal
 when their 64-bit hashes are. Defined results: a null text counts as empty; texts
@@ -32,7 +33,6 @@ rows share a component. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,11 @@ SHINGLE, PERCENT = 5, 80
 #: Shingles of one message chunk, and of one range of hashes (one task).
 MESSAGE, RANGE = 1 << 20, 1 << 22
 SEVERAL = np.uint16(0xFFFF)
-SMALL, CHUNK = 8, 512
-#: Shingles of texts that one task compares with each other.
-CLUSTER = 1 << 22
+SMALL = 8
+#: Shingles of texts that one task compares with each other; the texts and shingles of a chunk of more.
+CLUSTER, CHUNK, WEIGHT = 1 << 20, 2048, 1 << 19
+#: Pairs of texts, and places of rare shingles, that a task counts at once.
+HELD = 1 << 21
 
 
 def shingles(text: bytes, memo: Words, shingle: int = SHINGLE) -> np.ndarray:
@@ -250,33 +252,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _shared(rows: slice, token: np.ndarray, ends: np.ndarray, rare: np.ndarray, dense: np.ndarray, held: tuple) -> np.ndarray:
+    """How many shingles each text of ``rows`` shares with each text of the group."""
+    texts, (holder, start, count) = len(ends) - 1, held
+    own = slice(ends[rows.start], ends[rows.stop])
+    out = dense[rows] @ dense.T
+    some = token[own][rare[own]]
+    who = np.repeat(np.arange(rows.stop - rows.start), np.diff(ends)[rows])[rare[own]]
+    many = count[some]
+    if len(some) and many.sum():  # every other holder of the rare shingles
+        place = np.repeat(start[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out += np.bincount(np.repeat(who, many) * texts + holder[place], minlength=out.size).reshape(out.shape)
+    return out
+
+
 def _across(percent: int):
-    """Links between the components of a group of texts, enough to connect what is similar."""
+    """Links between the components of a group of texts, enough to connect what is similar.
+    Texts of one ``side`` are not compared with each other unless the group has one side.
+    Shared shingles are counted for all pairs of a block of texts at once: those of many
+    texts as a product of matrices, the others by their holders."""
 
     def run(group: pa.Table) -> pa.Table:
         rid, first = np.unique(group.column("rid").to_numpy(), return_index=True)
-        label = group.column("component").to_numpy()[first].copy()
-        items = group.column("items").to_pylist()
-        sets = [np.frombuffer(items[i], np.uint64) for i in first]
-        n = np.array([len(s) for s in sets])
-        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        ends = np.cumsum(n)
-        holders: dict[int, list[int]] = {}
-        for i, (x, y) in enumerate(zip(ends - n, ends, strict=True)):
-            own = token[x:y]
-            rare = own[np.lexsort((own, count[own]))[: most_alone(n[i], percent) + 1]]  # a similar set has one of these among its own
-            for t in rare[count[rare] > 1].tolist():
-                holders.setdefault(t, []).append(i)
-        links, seen = [], set()
-        for held in holders.values():
-            for pair in combinations(held, 2):
-                i, j = pair
-                if label[i] == label[j] or pair in seen:
-                    continue
-                seen.add(pair)
-                if similar(min(n[i], n[j]), n[i], n[j], percent) and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), n[i], n[j], percent):
-                    links.append((rid[i], rid[j]))
-                    label[label == label[j]] = label[i]
+        label = np.unique(group.column("component").to_numpy()[first], return_inverse=True)[1]
+        side = group.column("side").to_numpy()[first]
+        links = []
+        if label.any() and len(rid):
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("items").take(pa.array(first)).to_pylist()]
+            n = np.array([len(x) for x in sets])
+            order = np.lexsort((side, n))  # similar sets are of similar sizes
+            rid, label, side, n = rid[order], label[order], side[order], n[order]
+            _, token, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+            del sets
+            ends = np.r_[0, np.cumsum(n)]
+            able = np.add.reduceat(np.r_[count[token] > 1, False].astype(np.int64), ends[:-1]) >= n - most_alone(n, percent)
+            able &= n > 0
+            often = count > max(SMALL, len(n) // 32)  # fewer than 32 times a text's shingles on average
+            column = np.cumsum(often) - 1
+            text = np.repeat(np.arange(len(n)), n)
+            dense = np.zeros((len(n), int(often.sum())), np.float32)
+            dense[text[often[token]], column[token[often[token]]]] = 1
+            rare = ~often[token] & (count[token] > 1)
+            by = np.argsort(token[rare], kind="stable")
+            holders = np.bincount(token[rare], minlength=len(count))
+            held = text[rare][by], np.cumsum(holders) - holders, holders
+            both = side.min() != side.max()
+            work = np.r_[0, np.cumsum(np.add.reduceat(np.r_[np.where(rare, holders[token], 0), 0], ends[:-1]) * (n > 0) + len(n))]
+            low = 0
+            while low < len(n):
+                high = max(low + 1, int(np.searchsorted(work, work[low] + HELD)))
+                block = slice(low, min(high, len(n)))
+                shared = _shared(block, token, ends, rare, dense, held)
+                close = similar(shared, n[block, None], n[None, :], percent) & able[block, None] & able[None, :]
+                if both:
+                    close &= side[block, None] != side[None, :]
+                for i in np.flatnonzero(close.any(axis=1)):
+                    near = np.flatnonzero(close[i])
+                    near = near[label[near] != label[low + i]]
+                    labels, at = np.unique(label[near], return_index=True)
+                    links += [(rid[low + i], rid[j]) for j in near[at]]
+                    if len(labels):
+                        label[np.isin(label, labels)] = label[low + i]
+                low = block.stop
         pair = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pair[:, 0], "b": pair[:, 1]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -311,21 +348,25 @@ def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components within the buckets of ``rest`` (sig, rid, n, m, component, hub).
-    Texts that are together in some bucket form clusters; a cluster of up to CLUSTER
-    shingles is compared as a whole, each set being sent once, the buckets of larger
-    ones each for itself."""
-    joined = components(rest.select(F.col("rid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
+    Texts that are together in some bucket form clusters. A cluster is compared as a whole
+    unless its buckets, each for itself, send fewer shingles. What has over CLUSTER shingles is
+    dealt into chunks, each two of them compared in a task."""
+    joined = components(rest.select(F.col("rid").alias("a"), F.col("hub").alias("b")).distinct()).select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
     texts = rest.select("rid", "n", "component").distinct().join(joined, "rid", "left").select("rid", "n", "component", F.coalesce("cluster", "rid").alias("cluster"))
     texts = Table(texts).df
-    large = texts.groupBy("cluster").agg(F.sum("n").alias("w")).where(F.col("w") > CLUSTER).select("cluster")
-    whole = texts.join(large, "cluster", "left_anti").select("rid", "component", "cluster")
-    within = whole.join(sets, "rid").groupBy("cluster").applyInArrow(_across(percent), "a long, b long")
-    parts = rest.join(texts.join(large, "cluster", "left_semi").select("rid"), "rid", "left_semi")
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    dealt = parts.select("sig", "rid", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("rid"), chunks).cast("int").alias("chunk"))
-    paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("sig", "rid", "component", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
-    across = paired.join(sets, "rid").groupBy("sig", "i", "j").applyInArrow(_across(percent), "a long, b long")
-    return within.unionByName(across)
+    chunks = F.when(F.col("w") <= CLUSTER, 1).otherwise(F.greatest(F.ceil(F.col("k") / CHUNK), F.ceil(F.col("w") / WEIGHT))).cast("int")
+    buckets = rest.groupBy("sig").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("k"), F.first("hub").alias("rid")).join(texts.select("rid", "cluster"), "rid").select("sig", "cluster", "w", chunks.alias("chunks"))
+    buckets = Table(buckets).df
+    sent = buckets.groupBy("cluster").agg(F.sum(F.col("w") * F.col("chunks")).alias("sent"))
+    whole = texts.groupBy("cluster").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("k")).select("cluster", "w", chunks.alias("chunks")).join(sent, "cluster")
+    whole = Table(whole.select("cluster", "chunks", (F.col("w") * F.col("chunks") <= F.col("sent")).alias("whole"))).df
+    together = texts.join(whole.where("whole").select("cluster", "chunks"), "cluster").select(F.lit(True).alias("whole"), F.col("cluster").alias("of"), "rid", "component", "chunks")
+    single = buckets.join(whole.where("not whole").select("cluster"), "cluster", "left_semi").select("sig", "chunks")
+    single = rest.select("sig", "rid", "component").join(single, "sig").select(F.lit(False).alias("whole"), F.col("sig").alias("of"), "rid", "component", "chunks")
+    dealt = together.unionByName(single).withColumn("side", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
+    paired = dealt.select("whole", "of", "rid", "component", "side", other).select("whole", "of", "rid", "component", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
+    return paired.join(sets, "rid").groupBy("whole", "of", "i", "j").applyInArrow(_across(percent), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
