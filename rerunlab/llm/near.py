@@ -14,7 +14,8 @@ cut from the set itself, as a vector with one bit for each possible shingle:
    so that similar texts are of one class or neighbouring ones; d is the class's bound.
    ``spare`` further blocks make up for blocks that are empty in both; texts with more
    empty blocks than that meet in a bucket of their own.
-3. Texts that share a block are compared as whole sets.
+3. Texts that share a block are compared as whole sets, with them the candidates that the
+   fingerprints give (``simhash.drop_similar``).
 
 Texts with equal sets are one class and never paired. In a small bucket (texts that share
 a block) all pairs are compared, in a large one every text with the first; large
@@ -32,7 +33,7 @@ rows share a component. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -325,8 +326,9 @@ def _fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b of rids that connect all similar texts. ``postings``: rid, n, sig; ``sets``: rid, items."""
+def links(postings: DataFrame, sets: DataFrame, percent: int, proposed: DataFrame | None = None) -> DataFrame:
+    """Links a, b of rids that connect all similar texts. ``postings``: rid, n, sig; ``sets``: rid,
+    items; ``proposed``: further pairs a, b (a < b) to verify before what is left is searched."""
     dealt = postings.repartition("sig")
     sizes = dealt.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("lead")).where("m > 1")
     met = Table(dealt.join(sizes.hint("merge"), "sig"))
@@ -335,7 +337,8 @@ def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = few.select("sig", *(F.col(c).alias(f"{c}2") for c in ("rid", "n")))
     pairs = few.join(other.hint("merge"), "sig").where((F.col("rid") < F.col("rid2")) & _fits(F.col("n"), F.col("n2"), percent)).select(F.col("rid").alias("a"), F.col("rid2").alias("b"))
     led = large.where(F.col("rid") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
-    pairs = Table(pairs.unionByName(led).distinct())
+    pairs = pairs.unionByName(led)
+    pairs = Table((pairs.unionByName(proposed) if proposed is not None else pairs).distinct())
     first = Table(_verified(pairs.df, sets, percent)).df
     pairs.drop()
     placed = Table(large.join(components(first).withColumnRenamed("node", "rid"), "rid", "left").select("sig", "rid", "n", "m", F.coalesce("component", "rid").alias("component")))
@@ -369,15 +372,17 @@ def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return paired.join(sets, "rid").groupBy("whole", "of", "i", "j").applyInArrow(_across(percent), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rid, doc_id, component_id (the smallest doc_id of those linked by similarity),
-    kept (one row of each component: the one with that id)."""
+    kept (one row of each component: the one with that id). ``candidates`` gives pairs a, b of
+    the rids of rows (rid, doc_id, text), one row of each set of shingles, to verify first."""
     rows = with_row_id(settled(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "rid")
     found = judged(rows, shingle, percent)
     head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid")))
     classes = Table(found.where("not lone").groupBy("content").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("node"), head.alias("first"))).df
-    sets = Table(_sets(rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi"), shingle)).df
-    linked = components(links(_postings(sets, percent), sets, percent))
+    distinct = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
+    sets = Table(_sets(distinct, shingle)).df
+    linked = components(links(_postings(sets, percent), sets, percent, candidates(distinct) if candidates else None))
     placed = Table(classes.join(linked, "node", "left").select("content", "m", "first", F.coalesce("component", "node").alias("component"))).df
     count, total = placed.agg(F.count(F.lit(1)), F.sum("m")).first()
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.min("first").alias("least"))

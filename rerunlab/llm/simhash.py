@@ -33,6 +33,8 @@ from .graph import components
 
 SEED, BITS = 42, 64
 SMALL, CHUNK = 32, 1024
+#: Radius and blocks of the fingerprints of ``drop_similar``.
+WIDE_RADIUS, WIDE_BLOCKS = 6, 8
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -55,14 +57,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """rid, doc_id, fp (the 64 bits as a signed long) for every row."""
+    rows = with_row_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "rid")
+    return _fingerprinted(rows, shingle)
+
 
+def _fingerprinted(rows: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [fingerprint(t or b"", shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             fp = np.array(got, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["rid", "doc_id", "fp"])
 
-    rows = with_row_id(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "rid")
     return rows.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, fp long")
 
 
@@ -151,8 +156,22 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", *
     return with_row_id(docs, row).join(kept, F.col(row) == F.col(kept.columns[0]), "left_semi").drop(row)
 
 
-def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = near.SHINGLE, percent: int = near.PERCENT) -> DataFrame:
+def candidates(rows: DataFrame, shingle: int, radius: int, blocks: int) -> DataFrame:
+    """Links a, b of the rids of ``rows`` (rid, doc_id, text) whose fingerprints differ in at most
+    ``radius`` bits, enough to connect them: of equal fingerprints each with the first."""
+    found = Table(_fingerprinted(rows, shingle)).df
+    distinct = Table(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead"))).df
+    count, total = distinct.agg(F.count(F.lit(1)), F.sum("n")).first()
+    same = join_hot(found.select("rid", "fp"), distinct, "fp", "n", total or 0).where(F.col("rid") > F.col("lead")).select(F.col("lead").alias("a"), F.col("rid").alias("b"))
+    one, two = (distinct.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}")) for x in "ab")
+    near = links(distinct.select("fp"), count, radius, blocks).join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    return same.unionByName(near.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")))
+
+
+def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = near.SHINGLE, percent: int = near.PERCENT, radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS) -> DataFrame:
     """``docs`` with one row of each group of texts linked by a Jaccard similarity of
-    ``percent`` or more of their shingles; all columns stay. 64 majority bits cannot hold
-    such a radius, so the pigeonhole blocks are cut from the shingle sets (see ``near``)."""
-    return near.drop_near_copies(docs, text, key, shingle=shingle, percent=percent)
+    ``percent`` or more of their shingles; all columns stay. Texts whose fingerprints differ
+    in at most ``radius`` bits are candidates, and an exact check of their shingles decides. 64
+    majority bits are too few for all similar texts to be within a radius that blocks allow,
+    so ``near`` finds the other pairs by blocks cut from the shingle sets, checked alike."""
+    return near.drop_near_copies(docs, text, key, shingle=shingle, percent=percent, candidates=lambda rows: candidates(rows, shingle, radius, blocks))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from rerunlab.llm import near
+from rerunlab.llm import near, simhash
 
 
 def family(count, edits):
@@ -76,3 +77,37 @@ def test_texts_of_many_buckets_are_sent_once(spark, monkeypatch):
     rest = spark.range(40).crossJoin(spark.range(30).withColumnRenamed("id", "sig")).select("sig", F.col("id").alias("rid"), F.lit(100).alias("n"), F.lit(40).cast("long").alias("m"), F.col("id").alias("component"), F.lit(0).cast("long").alias("hub"))
     sets = spark.range(40).select(F.col("id").alias("rid"), F.lit(b"").alias("items"))
     assert near._apart(rest, sets, near.PERCENT).agg(F.sum("a")).first()[0] == 80
+
+
+def test_fingerprints_propose_links(spark):
+    """The stage's fingerprints: five words, links within the radius, whatever the blocks find."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((60, 300)))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = "edited"
+            texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[0], "", ""]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    radius = simhash.WIDE_RADIUS
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").withColumn("doc_id", F.col("rid"))
+    got = [(r["a"], r["b"]) for r in simhash.candidates(rows, 5, radius, simhash.WIDE_BLOCKS).collect()]
+    assert all(a < b and (b, a) in close for a, b in got)
+    assert roots(len(texts), got) == roots(len(texts), close)
+
+
+def test_the_stage_goes_through_fingerprints(spark, monkeypatch):
+    asked = []
+
+    def candidates(rows, shingle, *how, real=simhash.candidates):
+        asked.append(shingle)
+        return real(rows, shingle, *how)
+
+    monkeypatch.setattr(simhash, "candidates", candidates)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:30], "edited", *words[31:]])), (3, "else")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect()) == [1, 3]
+    assert asked == [5]
