@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -42,6 +43,39 @@ def test_shards(spark, monkeypatch):
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in got if not learned(r["doc_id"])]) > 0.9
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    docs, labels = corpus(spark, 2000)
+    labels = labels.where("doc_id % 3 = 0")
+    want = sorted(i for i in range(0, 2000, 3) if learned(i))
+    for marks in (toxicity.MARKS, 1 << 15):  # in the second, marks of other ids are met as well
+        monkeypatch.setattr(toxicity, "MARKS", marks)
+        rows = toxicity.training_rows(docs, labels)
+        assert rows.count() == len(want)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("MapInArrow")  # words are coded below the join
+
+
+def test_files_of_a_round_go(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 5000)
+    docs, labels = corpus(spark, 1200)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    run, left = toxicity._round, []
+
+    def shuffled():
+        return disk.getAllFiles().mkString("\n").count("/shuffle_")
+
+    def watched(*args):
+        found, end = run(*args), time.time() + 5
+        while left and shuffled() > left[0] and time.time() < end:  # the cleaner takes its time
+            time.sleep(0.2)
+        left.append(shuffled())
+        return found
+
+    monkeypatch.setattr(toxicity, "_round", watched)
+    toxicity.train(docs, labels)
+    assert len(left) == toxicity.ROUNDS and left[-1] <= left[0]  # Spark holds those of the last step
+
+
 def test_changes_are_averaged_by_weight():
     import pyarrow as pa
 
