@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.special import normal_quantile, normal_survival_udf, uniform
-from . import auroc
+from . import auroc, resample
 
 PI2 = 2 * math.pi
 
@@ -34,23 +34,11 @@ def _poisson(u: Column) -> Column:
     return out
 
 
-def bootstrap_weights(units: DataFrame, unit: list[str], draws: int, seed: int = 0, exact: bool = True) -> DataFrame:
-    """Every unit with its multiplicity ``m`` in each draw ``b``. ``exact`` draws as many
-    units as there are, with replacement; else each multiplicity is Poisson(1), which
-    needs no join and suits many units."""
-    if not exact:
-        rows = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        return rows.withColumn("m", _poisson(uniform(*(F.col(c) for c in unit), F.col("b"), seed=seed))).where("m > 0")
-    n = units.count()
-    placed = auroc_index(units, unit)
-    picks = units.sparkSession.range(n).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.select("b", F.floor(uniform(F.col("id"), F.col("b"), seed=seed) * n).alias("_i")).groupBy("b", "_i").agg(F.count(F.lit(1)).alias("m"))
-    return picks.join(placed, "_i").drop("_i")
-
-
-def auroc_index(units: DataFrame, unit: list[str]) -> DataFrame:
-    """Units numbered from 0 in key order."""
-    return units.withColumn("_i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*unit)) - 1).cast("long"))
+def bootstrap_weights(units: DataFrame, unit: list[str], draws: int, seed: int = 0) -> DataFrame:
+    """Every unit with its multiplicity ``m`` in each draw ``b``, where each is Poisson(1):
+    no join, and units leave their places for no task."""
+    rows = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return rows.withColumn("m", _poisson(uniform(*(F.col(c) for c in unit), F.col("b"), seed=seed))).where("m > 0")
 
 
 def interval(draws: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -67,14 +55,17 @@ def interval(draws: DataFrame, value: str, by: list[str] | None = None) -> DataF
 def bootstrap_within(df: DataFrame, unit: list[str], draws: int = 200, seed: int = 0, exact: bool = True) -> DataFrame:
     """b, auroc: within AUROC of units drawn again. A unit drawn twice is two units."""
     u = auroc.unit_auroc(df, unit).select(*unit, "concordance", (F.col("p") * F.col("n")).alias("pairs"))
-    w = bootstrap_weights(u, unit, draws, seed, exact)
-    return w.groupBy("b").agg(auroc.ratio(F.sum(F.col("m") * F.col("concordance")), F.sum(F.col("m") * F.col("pairs"))).alias("auroc"))
+    if exact:
+        w = resample.drawn_sums(u, unit, ["concordance", "pairs"], draws, seed)
+    else:
+        w = bootstrap_weights(u, unit, draws, seed).groupBy("b").agg(F.sum(F.col("m") * F.col("concordance")).alias("concordance"), F.sum(F.col("m") * F.col("pairs")).alias("pairs"))
+    return w.select("b", auroc.ratio(F.col("concordance"), F.col("pairs")).alias("auroc"))
 
 
 def bootstrap_icc(units: DataFrame, unit: list[str], draws: int = 200, seed: int = 0) -> DataFrame:
     """b, icc: the between share of run variance, units drawn again."""
-    w = bootstrap_weights(units, unit, draws, seed)
-    t = w.groupBy("b").agg(F.sum(F.col("m") * F.col("r")).alias("R"), F.sum(F.col("m") * F.col("s")).alias("S"), F.sum(F.col("m") * F.col("s") * F.col("s") / F.col("r")).alias("Q"))
+    u = units.select(*unit, F.col("r").alias("R"), F.col("s").alias("S"), (F.col("s") * F.col("s") / F.col("r")).alias("Q"))
+    t = resample.drawn_sums(u, unit, ["R", "S", "Q"], draws, seed)
     mu = F.col("S") / F.col("R")
     return t.select("b", auroc.ratio(F.col("Q") / F.col("R") - mu * mu, mu * (1 - mu)).alias("icc"))
 

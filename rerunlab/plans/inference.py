@@ -21,7 +21,7 @@ def i02(spark, d):
     """Units are the cells of model and task; whole tasks are drawn."""
     runs = order_runs(spark, d)
     u = auroc.unit_auroc(runs, ["unit", "model"]).groupBy("unit").agg(F.sum("concordance").alias("c"), F.sum(F.col("p") * F.col("n")).alias("pairs"))
-    w = inf.bootstrap_weights(u, ["unit"], 200, exact=False)
+    w = inf.bootstrap_weights(u, ["unit"], 200)
     draws = w.groupBy("b").agg(auroc.ratio(F.sum(F.col("m") * F.col("c")), F.sum(F.col("m") * F.col("pairs"))).alias("auroc"))
     return inf.interval(draws, "auroc")
 
