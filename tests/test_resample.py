@@ -49,3 +49,16 @@ def test_icc_bootstrap_makes_no_row_for_a_pick(runs, monkeypatch, tile):
     assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b], abs=1e-9) for b in got)
     plan = inference.bootstrap_icc(units, ["unit"], 40)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan  # picks were joined to units, and broadcast as if they were few
+
+
+def within_picks(runs, draws, seed):
+    u = auroc.unit_auroc(runs, ["unit"]).withColumn("pairs", F.col("p") * F.col("n"))
+    return {b: c / m for b, (c, m) in picked(u, ["unit"], ["concordance", "pairs"], draws, seed).items()}
+
+
+def test_equivalence_bound_is_that_of_joined_picks(runs):
+    drawn = inference.bootstrap_within(runs, ["unit"], 40, seed=11)
+    assert "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
+    want = within_picks(runs, 40, 11)
+    got = inference.interval(drawn, "auroc").first()
+    assert got["draws"] == 40 and got["bound"] == pytest.approx(np.percentile([abs(x - 0.5) for x in want.values()], 95), abs=1e-12)
