@@ -62,3 +62,9 @@ def test_equivalence_bound_is_that_of_joined_picks(runs):
     want = within_picks(runs, 40, 11)
     got = inference.interval(drawn, "auroc").first()
     assert got["draws"] == 40 and got["bound"] == pytest.approx(np.percentile([abs(x - 0.5) for x in want.values()], 95), abs=1e-12)
+
+
+def test_unit_bootstrap_in_tiles_is_that_of_joined_picks(runs, monkeypatch):
+    monkeypatch.setattr(resample, "TILE", 16)
+    got = {r["b"]: r["auroc"] for r in inference.bootstrap_within(runs, ["unit"], 25).collect()}
+    assert got == pytest.approx(within_picks(runs, 25, 0), abs=1e-12)
