@@ -81,7 +81,7 @@ def permuted_labels(df: DataFrame, unit: list[str], run: str, draws: int, y: str
 
 def permutation_test(df: DataFrame, unit: list[str], run: str, draws: int = 100, seed: int = 0) -> DataFrame:
     """Observed within AUROC, its null's spread, and the two-sided p around one half."""
-    null = auroc.within(permuted_labels(df, unit, run, draws, seed=seed), unit, ["b"])
+    null = resample.permuted_within(df, unit, run, draws, seed=seed)
     seen = auroc.within(df, unit).select(F.col("auroc").alias("observed"), "pairs", "mixed_units")
     far = (F.abs(F.col("auroc") - 0.5) >= F.abs(F.col("observed") - 0.5)).cast("int")
     return null.select("auroc").crossJoin(F.broadcast(seen)).groupBy("observed", "pairs", "mixed_units").agg(F.stddev_pop("auroc").alias("null_sd"), ((1 + F.sum(far)) / (draws + 1)).alias("p_value"))
@@ -148,13 +148,10 @@ def synthetic_scores(df: DataFrame, run: str, target: float, y: str = "y", seed:
 
 def power(df: DataFrame, unit: list[str], run: str, targets: list[float], draws: int, null_sd: float, seed: int = 0) -> DataFrame:
     """Share of draws whose within AUROC lies over 1.96 null deviations from one half."""
-    out = None
-    for i, target in enumerate(targets):
-        rows = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        a = auroc.within(synthetic_scores(rows, run, target, "y", seed + i, "b"), unit, ["b"])
-        p = a.agg(F.avg((F.abs(F.col("auroc") - 0.5) > 1.96 * null_sd).cast("double")).alias("power"), F.avg("auroc").alias("achieved")).withColumn("target", F.lit(target))
-        out = p if out is None else out.unionByName(p)
-    return out
+    shifts = [(math.sqrt(2) * normal_quantile(t), seed + i) for i, t in enumerate(targets)]
+    drawn = resample.synthetic_within(df, unit, run, shifts, draws)
+    named = F.array(*(F.lit(t) for t in targets))[F.col("i")].alias("target")
+    return drawn.groupBy(named).agg(F.avg((F.abs(F.col("auroc") - 0.5) > 1.96 * null_sd).cast("double")).alias("power"), F.avg("auroc").alias("achieved")).select("power", "achieved", "target")
 
 
 def subsample_runs(df: DataFrame, unit: list[str], run: str, r: int, draws: int, seed: int = 0) -> DataFrame:

@@ -86,7 +86,7 @@ def i12(spark, d):
     """Within AUROC when every unit keeps r runs."""
     runs, out = order_runs(spark, d), None
     for r in (2, 3, 5):
-        rows = auroc.within(inf.subsample_runs(runs, ["unit"], "run", r, 10, seed=r), ["unit"], ["b"]).agg(F.avg("auroc").alias("auroc"), F.avg("mixed_units").alias("mixed_units")).withColumn("r", F.lit(r))
+        rows = inf.resample.subsampled_within(runs, ["unit"], "run", r, 10, seed=r).agg(F.avg("auroc").alias("auroc"), F.avg("mixed_units").alias("mixed_units")).withColumn("r", F.lit(r))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -68,3 +68,19 @@ def test_unit_bootstrap_in_tiles_is_that_of_joined_picks(runs, monkeypatch):
     monkeypatch.setattr(resample, "TILE", 16)
     got = {r["b"]: r["auroc"] for r in inference.bootstrap_within(runs, ["unit"], 25).collect()}
     assert got == pytest.approx(within_picks(runs, 25, 0), abs=1e-12)
+
+
+@pytest.mark.parametrize("block,chunk", [(65_536, 1 << 15), (50, 64)])
+def test_power_is_that_of_a_row_for_each_draw(spark, runs, monkeypatch, block, chunk):
+    monkeypatch.setattr(resample, "BLOCK", block)
+    monkeypatch.setattr(resample, "CHUNK", chunk)
+    shifts = [(0.3, 4), (0.9, 5)]
+    got = {(r["i"], r["b"]): r["auroc"] for r in resample.synthetic_within(runs, ["unit"], "run", shifts, 6).collect()}
+    assert len(got) == 12
+    for i, (shift, seed) in enumerate(shifts):
+        rows = runs.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(6))))
+        scored = rows.withColumn("s", inference.gaussian(F.col("run"), F.col("b"), seed=seed) + shift * F.col("y"))
+        want = {(i, r["b"]): r["auroc"] for r in auroc.within(scored, ["unit"], ["b"]).collect()}
+        assert {k: v for k, v in got.items() if k[0] == i} == pytest.approx(want, abs=1e-12)
+    plan = inference.power(runs, ["unit"], "run", [0.5, 0.6], 2000, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # runs were repeated for every draw and sorted
