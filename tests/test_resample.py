@@ -84,3 +84,16 @@ def test_power_is_that_of_a_row_for_each_draw(spark, runs, monkeypatch, block, c
         assert {k: v for k, v in got.items() if k[0] == i} == pytest.approx(want, abs=1e-12)
     plan = inference.power(runs, ["unit"], "run", [0.5, 0.6], 2000, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # runs were repeated for every draw and sorted
+
+
+def same_draws(got, want):
+    a, b = ({r["b"]: (r["auroc"], r["pairs"], r["mixed_units"]) for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+@pytest.mark.parametrize("block", [65_536, 50])
+def test_permutations_are_those_of_a_row_for_each_draw(runs, monkeypatch, block):
+    monkeypatch.setattr(resample, "BLOCK", block)
+    same_draws(resample.permuted_within(runs, ["unit"], "run", 9, seed=2), auroc.within(inference.permuted_labels(runs, ["unit"], "run", 9, seed=2), ["unit"], ["b"]))
+    plan = inference.permutation_test(runs, ["unit"], "run", 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # runs were repeated for every draw and sorted
