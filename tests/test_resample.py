@@ -97,3 +97,9 @@ def test_permutations_are_those_of_a_row_for_each_draw(runs, monkeypatch, block)
     same_draws(resample.permuted_within(runs, ["unit"], "run", 9, seed=2), auroc.within(inference.permuted_labels(runs, ["unit"], "run", 9, seed=2), ["unit"], ["b"]))
     plan = inference.permutation_test(runs, ["unit"], "run", 50)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # runs were repeated for every draw and sorted
+
+
+def test_permutations_in_folds(runs):
+    folded = runs.withColumn("fold", F.col("unit") % 5)
+    unit = ["fold", "unit"]
+    same_draws(resample.permuted_within(folded, unit, "run", 5, seed=3), auroc.within(inference.permuted_labels(folded, unit, "run", 5, seed=3), unit, ["b"]))
