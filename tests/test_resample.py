@@ -103,3 +103,14 @@ def test_permutations_in_folds(runs):
     folded = runs.withColumn("fold", F.col("unit") % 5)
     unit = ["fold", "unit"]
     same_draws(resample.permuted_within(folded, unit, "run", 5, seed=3), auroc.within(inference.permuted_labels(folded, unit, "run", 5, seed=3), unit, ["b"]))
+
+
+@pytest.mark.parametrize("keep", [2, 5, 9])
+def test_subsamples_are_those_of_a_row_for_each_draw(runs, keep):
+    same_draws(resample.subsampled_within(runs, ["unit"], "run", keep, 6, seed=keep), auroc.within(inference.subsample_runs(runs, ["unit"], "run", keep, 6, seed=keep), ["unit"], ["b"]))
+
+
+def test_repeat_drift_repeats_no_run(spark):
+    from rerunlab.plans import inference as plans
+
+    assert "Generate" not in plans.i12(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
