@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.special import beta_mean_difference_udf
+from ..functions.sums import exact_sum
 from .auroc import below, pooled, ratio
 
 D = F.lit
@@ -174,8 +175,9 @@ def operating_curve(df: DataFrame, quantiles: list[float], y: str = "y", score:
 
 
 def priority(df: DataFrame, task: str = "task", y: str = "y", cost: str = "cost") -> DataFrame:
-    """Tasks ranked by smoothed success rate for their mean cost; ties by task."""
-    t = df.groupBy(task).agg(F.avg(cost).alias("mean_cost"), ((F.sum(1 - F.col(y)) + 0.5) / (F.count(D(1)) + 1)).alias("rate"))
+    """Tasks ranked by smoothed success rate for their mean cost; ties by task. Costs are summed
+    exactly: else equal means differ in their last bits, and with them the order."""
+    t = df.groupBy(task).agg(F.try_divide(exact_sum(F.col(cost)), F.count(cost).cast("double")).alias("mean_cost"), ((F.sum(1 - F.col(y)) + 0.5) / (F.count(D(1)) + 1)).alias("rate"))
     return t.withColumn("place", F.row_number().over(Window.partitionBy(D(0)).orderBy(F.desc(F.col("rate") / F.col("mean_cost")), task)))
 
 
