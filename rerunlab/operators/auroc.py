@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Estimated bytes up to which a running sum is simply sorted; past it rows are counted.
@@ -70,10 +71,53 @@ def _sorted_sum(hist: DataFrame, by: list[str], value: str, out: str) -> DataFra
     return hist.withColumn(out, F.coalesce(F.sum(value).over(over), F.lit(0)))
 
 
+def hot_cuts(df: DataFrame, by: list[str], y: str, score: str) -> list[tuple]:
+    """Groups with about ONE_TASK distinct scores and more, with the edges of RANGES ranges of
+    each: at most rows / ONE_TASK groups of RANGES numbers come to the driver. Rows are
+    counted first, which moves one number for each group; mostly no group is left."""
+    rows = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    n = F.count(F.lit(1))
+    large = rows.groupBy(*by).agg(n.alias("_n")).where(F.col("_n") > ONE_TASK).select(*by).collect()
+    if not large:
+        return []
+    found = rows
+    if by:
+        match = [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)]
+        keys = df.sparkSession.createDataFrame([tuple(r) for r in large], df.select(*by).schema).select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)))
+        found = rows.join(F.broadcast(keys), match, "left_semi")
+    wanted = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cut = found.groupBy(*by).agg(F.percentile_approx(score, wanted, 10_000).alias("_cuts"), F.approx_count_distinct(score, 0.02).alias("_d"))
+    return [tuple(r)[:-1] for r in cut.where(F.col("_d") > 0.9 * ONE_TASK).collect()]
+
+
+def _concordance(hist: DataFrame, by: list[str], hot: list[tuple]) -> DataFrame:
+    """For each group of a histogram: p, n, concordance. Ranges of the groups in ``hot`` are
+    summed apart, then every range adds its positives times the negatives of those before."""
+    above = F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0)))
+    if not hot:
+        return _sorted_sum(hist, by, "n", "below").groupBy(*by).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), above.alias("concordance"))
+    at = F.size(F.filter("_cuts", lambda c: c <= F.col("_s")))
+    if by:
+        schema = T.StructType([*(T.StructField(f"_k{i}", hist.schema[b].dataType) for i, b in enumerate(by)), T.StructField("_cuts", T.ArrayType(hist.schema["_s"].dataType))])
+        cuts = hist.sparkSession.createDataFrame(hot, schema)
+        ranged = hist.join(F.broadcast(cuts), [F.col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)], "left").withColumn("_range", F.coalesce(at, F.lit(-1))).drop("_cuts", *(f"_k{i}" for i in range(len(by))))
+    else:
+        ranged = hist.withColumn("_cuts", F.array(*(F.lit(c) for c in hot[0][0])).cast(T.ArrayType(hist.schema["_s"].dataType))).withColumn("_range", at).drop("_cuts")
+    keys = [*by, "_range"]
+    local = _sorted_sum(ranged, keys, "n", "below").groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), above.alias("c"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    started = local.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return started.groupBy(*by).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("c") + F.col("p") * F.col("_start")).alias("concordance"))
+
+
+def _cuts_where_large(hist: DataFrame, df: DataFrame, by: list[str], y: str, score: str) -> list[tuple]:
+    return [] if estimated_bytes(hist) <= SMALL else hot_cuts(df, by, y, score)
+
+
 def pair_sums(df: DataFrame, by: list[str], y: str = "y", score: str = "s") -> DataFrame:
     """For each group: positives p, negatives n, concordance (ties half) as double."""
-    h = below(histogram(df, by, y, score), by)
-    return h.groupBy(*by).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0))).alias("concordance"))
+    hist = histogram(df, by, y, score)
+    return _concordance(hist, by, _cuts_where_large(hist, df, by, y, score))
 
 
 def pooled(df: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "s") -> DataFrame:
@@ -135,12 +179,9 @@ def within_deployment(df: DataFrame, unit: list[str], task: str, y: str = "y", s
 
 
 def decomposition(df: DataFrame, unit: list[str], y: str = "y", score: str = "s") -> DataFrame:
-    """A_pool = w * A_within + (1 - w) * A_cross, from one histogram by unit and score."""
-    by_unit = histogram(df, unit, y, score)
-    total = below(by_unit.groupBy("_s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), []).agg(
-        F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0))).alias("C")
-    )
-    inner = below(by_unit, unit).groupBy(*unit).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / F.lit(2.0))).alias("c"))
+    """A_pool = w * A_within + (1 - w) * A_cross, from histograms by score and by unit and score."""
+    total = pair_sums(df, [], y, score).select(F.col("p").alias("P"), F.col("n").alias("N"), F.col("concordance").alias("C"))
+    inner = pair_sums(df, unit, y, score).withColumnRenamed("concordance", "c")
     inside = inner.agg(F.coalesce(F.sum(F.col("p") * F.col("n")), F.lit(0)).alias("n_within"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("c_within"))
     pairs, w = F.col("P") * F.col("N"), F.col("n_within")
     return total.crossJoin(inside).select(  # two single rows

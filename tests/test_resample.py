@@ -114,3 +114,32 @@ def test_repeat_drift_repeats_no_run(spark):
     from rerunlab.plans import inference as plans
 
     assert "Generate" not in plans.i12(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_large_histograms_are_not_joined_to_their_own_sizes(spark, runs, monkeypatch):
+    small = exchanges(auroc.within(runs, ["unit"]))
+    monkeypatch.setattr(auroc, "SMALL", 0)
+    assert exchanges(auroc.within(runs, ["unit"])) == small  # was three times as many
+
+
+def test_runs_stay_in_place_over_rounds(runs):
+    """Every round of a bisection moved every run."""
+    placed = resample.together(runs, ["unit"]).cache()
+    scored = inference.corrupted(inference.monitor_scores(placed, ["unit"], "run", "A", 0.7), "run", 0.1)
+    plan = auroc.unit_auroc(scored, ["unit"])._jdf.queryExecution().executedPlan().toString()
+    assert placed.count() and "Exchange" not in plan.split("InMemoryTableScan")[0]
+    placed.unpersist()
+
+
+def test_decomposition_with_large_histograms(runs, monkeypatch):
+    want = auroc.decomposition(runs, ["unit"]).first()
+    monkeypatch.setattr(auroc, "SMALL", 0)
+    monkeypatch.setattr(auroc, "ONE_TASK", 20)
+    monkeypatch.setattr(auroc, "RANGES", 5)
+    df = auroc.decomposition(runs.withColumn("s", F.col("s") + F.col("run") / 1000), ["unit"])
+    assert df.first()["n_within"] == want["n_within"]
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
