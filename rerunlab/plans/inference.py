@@ -159,7 +159,7 @@ def i17b(spark, d):
 def i18(spark, d):
     """What three monitor families achieve at a target of 0.7; difficulty is the failure rate
     of other models' runs of the unit."""
-    runs = order_runs(spark, d)
+    runs = inf.resample.together(order_runs(spark, d), ["unit"])  # no round moves a run
     own = Window.partitionBy("unit", "model")
     whole = Window.partitionBy("unit")
     others = F.try_divide((F.sum("y").over(whole) - F.sum("y").over(own)).cast("double"), F.count("y").over(whole) - F.count("y").over(own))
