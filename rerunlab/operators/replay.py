@@ -26,6 +26,8 @@ from ..functions.special import beta_survival, uniform
 COLUMNS = "policy string, budget double, trial int, solved int, spent double, pulls int, aborted int, enough boolean"
 #: Draws made ready for each task of a trial at first, and the most ever.
 READY, MOST = 32, 1 << 22
+#: Draws up to which recorded runs are looked up in place.
+FEW = 500_000
 #: Cells into which a task's runs are dealt to be numbered, one for so many of all runs.
 PER_CELL = 1_000_000
 
@@ -75,9 +77,17 @@ def bench(runs: DataFrame, priors: DataFrame | None = None, abort_turn: int = 5,
     )
     numbered = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("task", "_cell").orderBy(*order)) - 1).join(tasks, ["task", "_cell"])
     out = numbered.withColumn("index", F.col("_start") + F.col("_i")).drop("_cell", "_start", "_i")
+    return with_priors(out, priors)
+
+
+def with_priors(b: DataFrame, priors: DataFrame | None) -> DataFrame:
+    """``b`` under other prior counts, one each for tasks without. A row a task is broadcast,
+    as every trial holds; runs stay where they are."""
+    b = b.withColumn("alpha", F.lit(1.0)).withColumn("beta", F.lit(1.0))
     if priors is None:
-        return out.withColumn("alpha", F.lit(1.0)).withColumn("beta", F.lit(1.0))
-    return out.join(priors.select("task", F.col("alpha").cast("double"), F.col("beta").cast("double")), "task", "left").fillna(1.0, ["alpha", "beta"])
+        return b
+    counts = priors.select("task", F.col("alpha").cast("double"), F.col("beta").cast("double"))
+    return b.drop("alpha", "beta").join(F.broadcast(counts), "task", "left").fillna(1.0, ["alpha", "beta"])
 
 
 def draws(b: DataFrame, trials: list[int], ready: int, seed: int) -> DataFrame:
@@ -87,6 +97,8 @@ def draws(b: DataFrame, trials: list[int], ready: int, seed: int) -> DataFrame:
     pulls = b.where("index = 0").select(*tasks).withColumn("trial", F.explode(F.array(*(F.lit(t) for t in trials)))).withColumn("pull", F.explode(F.sequence(F.lit(0), F.lit(ready - 1))))
     met = pulls.withColumn("index", F.floor(uniform(F.col("task"), F.col("trial"), F.col("pull"), seed=seed) * F.col("n")).cast("long"))
     run = ["cost", "win", "s", "steps", "early", "capped"]
+    if len(trials) * ready * b.where("index = 0").count() <= FEW:
+        met = F.broadcast(met)  # all recorded runs stay where they are
     joined = met.join(b.select("task", "index", *run), ["task", "index"])
     listed = joined.groupBy("trial", *tasks).agg(F.array_sort(F.collect_list(F.struct("pull", *run))).alias("r"))
     return listed.select("trial", *tasks, *(F.col(f"r.{c}").alias(c) for c in run))

@@ -129,9 +129,10 @@ def test_large_histograms_are_not_joined_to_their_own_sizes(spark, runs, monkeyp
 def test_runs_stay_in_place_over_rounds(runs):
     """Every round of a bisection moved every run."""
     placed = resample.together(runs, ["unit"]).cache()
+    rows = placed.count()
     scored = inference.corrupted(inference.monitor_scores(placed, ["unit"], "run", "A", 0.7), "run", 0.1)
     plan = auroc.unit_auroc(scored, ["unit"])._jdf.queryExecution().executedPlan().toString()
-    assert placed.count() and "Exchange" not in plan.split("InMemoryTableScan")[0]
+    assert rows and "Exchange" not in plan.split("InMemoryTableScan")[0]
     placed.unpersist()
 
 
@@ -143,3 +144,25 @@ def test_decomposition_with_large_histograms(runs, monkeypatch):
     df = auroc.decomposition(runs.withColumn("s", F.col("s") + F.col("run") / 1000), ["unit"])
     assert df.first()["n_within"] == want["n_within"]
     assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recorded_runs_stay_in_place_in_replay(spark, monkeypatch):
+    """Draws and priors moved every recorded run where tables are too large to broadcast unasked."""
+    from rerunlab.operators import replay
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(400).select(F.pmod("id", F.lit(5)).alias("task"), (F.col("id") + 1.0).alias("cost"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+        priors = spark.createDataFrame([(0, 2.0, 3.0), (1, 4.0, 1.0)], "task long, alpha double, beta double")
+        b = replay.bench(rows).cache()
+        b.count()
+        under = replay.with_priors(b, priors)
+        assert {(r["task"], r["alpha"], r["beta"]) for r in under.collect()} == {(0, 2.0, 3.0), (1, 4.0, 1.0), (2, 1.0, 1.0), (3, 1.0, 1.0), (4, 1.0, 1.0)}
+        plan = replay.draws(under, [0, 1], 8, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan.split("InMemoryTableScan")[0] and "BroadcastHashJoin" in plan
+        few = {tuple(map(str, r)) for r in replay.draws(under, [0, 1], 8, 5).collect()}
+        monkeypatch.setattr(replay, "FEW", 0)
+        assert {tuple(map(str, r)) for r in replay.draws(under, [0, 1], 8, 5).collect()} == few
+        b.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
