@@ -7,6 +7,8 @@ half. A metric without a pair is NULL.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,42 @@ def mid_rank(df: DataFrame, score: str, by: list[str], out: str = "mid_rank") ->
     return df.withColumn(out, F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / F.lit(2.0))
 
 
+def quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours. Past ONE_TASK values only those near
+    each quantile (a RANGES-th of all on both sides) are sorted, after those below were counted;
+    all are where an estimate misses its place."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
+    n = rows.count()
+    if not n:
+        return [None] * len(qs)
+    near: list[tuple] = [(None, None)] * len(qs)
+    if n > ONE_TASK:
+        wide = [x for q in qs for x in (max(0.0, q - 1 / RANGES), min(1.0, q + 1 / RANGES))]
+        e = rows.agg(F.percentile_approx("_v", F.array(*(F.lit(x) for x in wide)), 10_000)).first()[0]
+        near = [(e[2 * i] if wide[2 * i] > 0 else None, e[2 * i + 1] if wide[2 * i + 1] < 1 else None) for i in range(len(qs))]
+    below = rows.agg(*(F.lit(0) if low is None else F.sum((F.col("_v") < low).cast("long")) for low, _ in near)).first()
+    out = []
+    for q, (low, high), start in zip(qs, near, below, strict=True):
+        at = q * (n - 1)
+        places = sorted({math.floor(at), math.ceil(at)})
+        found = _in_places(rows, places, low, high, start)
+        if len(found) < len(places):
+            found = _in_places(rows, places, None, None, 0)
+        a, b = found[places[0]], found[places[-1]]
+        out.append(float(a) if len(places) == 1 else (places[1] - at) * a + (at - places[0]) * b)
+    return out
+
+
+def _in_places(rows: DataFrame, places: list[int], low, high, start: int) -> dict[int, float]:
+    """Values at ``places`` of the sorted rows, of which ``start`` lie below ``low``."""
+    part = rows if low is None else rows.where(F.col("_v") >= low)
+    part = part if high is None else part.where(F.col("_v") <= high)
+    upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    counts = part.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", upto + start)
+    hit = counts.withColumn("_i", F.explode(F.array(*(F.lit(i) for i in places)))).where("_i < _upto AND _i >= _upto - _n")
+    return {r["_i"]: r["_v"] for r in hit.collect()}
+
+
 def histogram(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
     """Positives ``p`` and negatives ``n`` for each group and score."""
     return df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(

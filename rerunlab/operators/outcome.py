@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions.special import beta_mean_difference_udf
 from ..functions.sums import exact_sum
 from .auroc import below, pooled, ratio
+from .auroc import quantiles as exact_quantiles
 
 D = F.lit
 
@@ -161,7 +162,8 @@ def finite_r(units: DataFrame) -> DataFrame:
 def operating_curve(df: DataFrame, quantiles: list[float], y: str = "y", score: str = "s", cost: str = "cost") -> DataFrame:
     """Stopping runs that score at or above a quantile of the successes' scores: what is
     kept, successes lost, failures caught and cost saved."""
-    cuts = df.where(F.col(y) == 0).agg(F.percentile(score, F.array(*(D(q) for q in quantiles))).alias("t"))
+    edges = exact_quantiles(df.where(F.col(y) == 0), score, quantiles)
+    cuts = df.sparkSession.range(1).select(F.array(*(D(e).cast("double") for e in edges)).alias("t"))
     rows = cuts.select(F.explode(F.arrays_zip(F.array(*(D(q) for q in quantiles)).alias("quantile"), F.col("t").alias("threshold"))).alias("z"))
     rows = rows.select(F.col("z").getField("quantile").alias("quantile"), F.col("z").getField("threshold").alias("threshold"))
     stop = F.col(score) >= F.col("threshold")
@@ -202,7 +204,8 @@ def pseudo_counts(df: DataFrame, task: str, success: str, weight: float) -> Data
 
 def decile_calibration(df: DataFrame, score: str, y: str, least: int = 20) -> DataFrame:
     """Failure rate by decile of the score; the base rate where a bin has few runs."""
-    edges = df.agg(F.percentile(score, F.array(*(D(i / 10) for i in range(1, 10)))).alias("_e"), F.avg(y).alias("_base"))
+    cuts = exact_quantiles(df, score, [i / 10 for i in range(1, 10)])
+    edges = df.agg(F.avg(y).alias("_base")).withColumn("_e", F.array(*(D(c).cast("double") for c in cuts)))
     rows = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(score))))
     return rows.groupBy("bin").agg(F.count(D(1)).alias("n"), F.when(F.count(D(1)) >= least, F.avg(y)).otherwise(F.max("_base")).alias("rate"))
 

@@ -164,7 +164,8 @@ def a35(spark, d):
 
 @register("a36_length_caps", f"WITH {PART_RUNS} SELECT CAST(floor(quantile_cont(cost, 0.5)) AS INTEGER) AS cap50, CAST(floor(quantile_cont(cost, 0.75)) AS INTEGER) AS cap75, CAST(floor(quantile_cont(cost, 0.9)) AS INTEGER) AS cap90 FROM runs WHERE y = 0")
 def a36(spark, d):
-    return part_runs(spark, d).where("y = 0").agg(*(F.percentile("cost", q).cast("int").alias(f"cap{int(100 * q)}") for q in (0.5, 0.75, 0.9)))
+    caps = auroc.quantiles(part_runs(spark, d).where("y = 0"), "cost", [0.5, 0.75, 0.9])
+    return spark.range(1).select(*(F.lit(c).cast("int").alias(f"cap{n}") for n, c in zip((50, 75, 90), caps, strict=True)))
 
 
 @register("a37_short_success_share", "SELECT round(avg(CASE WHEN l_quantity <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS short_share FROM lineitem WHERE l_returnflag <> 'R'")
