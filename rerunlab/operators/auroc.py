@@ -60,7 +60,7 @@ def quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
         if len(found) < len(places):
             found = _in_places(rows, places, None, None, 0)
         a, b = found[places[0]], found[places[-1]]
-        out.append(float(a) if len(places) == 1 else (places[1] - at) * a + (at - places[0]) * b)
+        out.append(float(a) if a == b else (places[1] - at) * a + (at - places[0]) * b)
     return out
 
 
